@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
-from tessera.llm._common import read
+from tessera.llm import grammar_shards, packing, quality_rules
+from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,3 +26,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "failed_rules"
     )
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.cut(docs, "byte_bpe_50k.json", end_id=0, window=1024, with_ids=False).drop("ids")
+    return packing.pack(pieces, 1024, rows=docs.count()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to grammar-compressed shards and read
+    back from them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_dir(spark)
+    grammar_shards.write_shards(docs, path, "word_bpe_49k.json", end_id=1)
+    return grammar_shards.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
