@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import grammar_shards, packing, quality_rules
+from tessera.llm import grammar_shards, packing, phrase_index, quality_rules
 from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,19 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     grammar_shards.write_shards(docs, path, "word_bpe_49k.json", end_id=1)
     return grammar_shards.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of any benchmark item."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = phrase_index.contamination(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("spans", lambda s: s["item_id"].cast("string")))))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
