@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import grammar_shards, packing, phrase_index, quality_rules
+from tessera.llm import grammar_shards, language_kernel, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
 from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_kernel.predict(docs, language_kernel.train(docs))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_kernel.score(docs, toxicity_kernel.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_machine.score(docs, quality_machine.train(docs, read(spark, sf_dir, "labels")))
