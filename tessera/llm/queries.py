@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import grammar_shards, language_kernel, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
+from tessera.llm import grammar_shards, language_kernel, main_text, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
 from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_machine.score(docs, quality_machine.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
