@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import grammar_shards, language_kernel, main_text, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
+from tessera.llm import grammar_shards, language_kernel, line_dedup, main_text, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
 from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,36 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.size(F.split("text", "\n"))
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n_lines))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE_SQL["op3_line_dedup"] = r"""
+with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+  lines as (select doc_id, text, i - 1 as n, ls[i] as line, list_filter(regexp_split_to_array(ls[i], '[ \t\x0b\x0c\r]+'), lambda x: x <> '') as w
+            from (select doc_id, text, ls, unnest(range(1, len(ls) + 1)) as i from docs)),
+  able as (select doc_id, n, array_to_string(w, ' ') as s, w, len(w) as c from lines where len(w) >= 5),
+  uniq as (select s, any_value(w) as w, any_value(c) as c, min((doc_id, n)) as first from able group by s),
+  spread as (select s, first, c, w, unnest(range(1, c + 1)) as i from uniq where c >= 10),
+  keys as (
+    select 'S' || i || '/' || c || '/' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') as key, 0 as kind, s, first from spread
+    union all select 'D' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' '), 1, s, first from spread
+    union all select distinct 'D' || s, 2, s, first from spread),
+  best as (select key, min(first) filter (kind = 0) as swap, min(first) filter (kind = 1) as dropped, min(first) filter (kind = 2) as own from keys group by key having count(*) > 1),
+  near as (select k.s, min(case kind when 0 then swap when 1 then own else dropped end) as by
+           from keys k join best using (key)
+           where case kind when 0 then swap when 1 then own else dropped end < k.first group by k.s),
+  gone as (select a.doc_id, a.n from able a join uniq u using (s) left join near m on m.s = a.s where m.by is not null or u.first < (a.doc_id, a.n)),
+  kept as (select l.doc_id, count(*) as n_lines, count(g.n) as n_removed, string_agg(case when g.n is null then l.line end, chr(10) order by l.n) as text
+           from lines l left join gone g on g.doc_id = l.doc_id and g.n = l.n group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed, 0)::bigint as n_removed,
+  case when d.text is null then null else sha256(coalesce(k.text, '')) end as text_sha256
+from documents d left join kept k using (doc_id)
+"""
