@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import grammar_shards, language_kernel, line_dedup, main_text, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
+from tessera.llm import grammar_shards, language_kernel, line_dedup, main_text, near_dup, packing, phrase_index, quality_machine, quality_rules, toxicity_kernel
 from tessera.llm._common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed
   case when d.text is null then null else sha256(coalesce(k.text, '')) end as text_sha256
 from documents d left join kept k using (doc_id)
 """
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: near copies share one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs).select("doc_id", "class_id", "keeper")
