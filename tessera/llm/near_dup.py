@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._common import materialize, small_batches
 from tessera.llm.phrase_index import _FOLD
@@ -349,3 +350,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(lone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         (lone | F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("g") == F.col("head.g"))).alias("keeper"),
     )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of each class, with its own columns: the keeper, and of rows that
+    repeat its id and text one."""
+    found = near_duplicates(df, id_col, text_col, least)
+    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))]
+    marked = _with_digest(df, text_col)
+    gone = found.where(~F.col("keeper")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_nd_id"), F.col("g").alias("_nd_g")).distinct()
+    repeated = found.where("keeper and g is not null").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_nd_rid"), F.col("g").alias("_nd_rg")).agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    left = marked.join(gone, (key[0] == F.col("_nd_id")) & (F.col("_nd_digest") == F.col("_nd_g")), "left_anti")
+    if not repeated.isEmpty():
+        same = (key[0] == F.col("_nd_rid")) & (F.col("_nd_digest") == F.col("_nd_rg"))
+        once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "_nd_digest"])
+        left = left.join(repeated, same, "left_anti").unionAll(once)
+    return left.drop("_nd_digest")
+
+
+def _with_digest(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` and ``_nd_digest``, the digest of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = [digest(t) if t else None for t in b.column("_nd_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(g, pa.binary())], [*b.schema.names[:-1], "_nd_digest"])
+
+    kinds = T.StructType([*df.schema.fields, T.StructField("_nd_digest", T.BinaryType())])
+    return df.select("*", F.col(f"`{text_col}`").alias("_nd_text")).mapInArrow(run, kinds)
