@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks in one generation of the cache; two generations are kept.
-CACHE = 200_000
+CACHE = 500_000
 
 _SPACES = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿"
 #: Texts in which white space is only single spaces and line ends between other
 #: characters; all others take the general way.
 _ODD = re.compile(rf"[^\S \n]|[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 _BEFORE_WORD = re.compile(rf" (?=[^{_SPACES}])")
+#: One piece of either way of cutting: a Latin word.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A Latin word and the punctuation after it: a piece begins at the punctuation.
 _WORD_POINT = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,:;!?*#$%&|)\"]+)")
 _ASCII_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -47,6 +49,14 @@ def load(path: str):
     return tok
 
 
+def bytes_to_letters() -> dict[int, int]:
+    """How byte-level tokenizers spell bytes: printable Latin-1 as itself, the
+    others, in order, from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
@@ -60,6 +70,14 @@ class ChunkEncoder:
             self.cut = self._cut_white
         else:
             self.cut = lambda text: [text]
+        letters = bytes_to_letters()
+        if self.cut == self._cut_byte_level:
+            self.spell = lambda w: w.encode().decode("latin-1").translate(letters)
+        elif self.cut == self._cut_white and "Lowercase" in norm:
+            self.spell = lambda w: w.lower().encode().decode("latin-1").translate(letters)
+        else:
+            self.spell = None
+        self.model = self.tok.model
         self.limit, self.new, self.old = cache, {}, {}
 
     @staticmethod
@@ -96,6 +114,10 @@ class ChunkEncoder:
                         self.new[c] = ids
                     else:
                         todo[c] = None
+        if self.spell:  # words are one piece: the merges alone are needed
+            words, todo = [c for c in todo if _WORD.fullmatch(c)], [c for c in todo if not _WORD.fullmatch(c)]
+            for w in words:
+                self.new[w] = np.array([x.id for x in self.model.tokenize(self.spell(w))], "<u4").tobytes()
         todo = list(todo)
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
