@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import profile_queries, relational_queries
+from tessera.plans import array_queries, profile_queries, relational_queries
 
-_MODULES = (relational_queries, profile_queries)
+_MODULES = (relational_queries, profile_queries, array_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
