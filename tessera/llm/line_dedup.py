@@ -19,9 +19,9 @@ by edits. Before variants are made, lines are brought down to distinct ones, and
 to those that share their first or last half with another line: an edit leaves
 one half as it was, so nothing near is lost.
 
-Defined results: null texts stay null, blank lines stay; rows with equal id and
-text are one document to this operator, and both are shortened alike; a null id
-counts as later than all others. Other columns pass through.
+Defined results: null texts stay null, blank lines stay; lines at one place of
+rows with equal ids are neither earlier, so both stay; a null id counts as later
+than all others. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from tessera.llm._common import materialize, small_batches
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 
+#: Bits of an address in a bit field.
+_BITS = 22
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
 
@@ -72,7 +74,7 @@ def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         swap = ((without ^ (without >> np.uint64(31))) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD) + place
         own = np.array([p[-1]], np.uint64)
         mix = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return mix(swap).view(np.int64), np.unique(mix(without)).view(np.int64), int(mix(own).view(np.int64)[0])
+        return mix(swap).view(np.int64), mix(without).view(np.int64), int(mix(own).view(np.int64)[0])
 
 
 def edits(a: list[str], b: list[str], most: int = 1) -> int:
@@ -93,9 +95,24 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("k"), F.col(f"`{text_col}`").alias("t")]
 
 
-def _lines(docs: DataFrame, min_words: int, near_words: int, with_text: bool) -> DataFrame:
-    """(d, k, n, h, words, keys) of lines with ``min_words`` words; with text
-    only the lines that take part in the near comparison, without keys."""
+def _place() -> Column:
+    """A line's place in the order of all lines, as one number that an
+    aggregation can hold in its buffer: document id, then line."""
+    return (F.col("d").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("n")).cast("decimal(32,0)")
+
+
+def _named(batches: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(batches, kinds, strict=True)], names)
+
+
+def _hashes(text: str) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(text)
+    return _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)
+
+
+def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """(d, k, n, h1, h2, x) of lines with ``min_words`` words: two hashes, and
+    the keys of the halves of those that are compared by edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,75 +120,126 @@ def _lines(docs: DataFrame, min_words: int, near_words: int, with_text: bool) ->
             for d, k, t in zip(b.column("d").to_pylist(), b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True):
                 for n, line in enumerate((t or "").split("\n")):
                     words = line_words(line)
-                    if len(words) < min_words or with_text and len(words) < near_words:
-                        continue
-                    text = " ".join(words)
-                    h = xxhash.xxh3_128_digest(text)
-                    if with_text:
-                        row = (d, k, n, h, len(words), text)
-                    else:
-                        row = (d, k, n, h, len(words), halves(words) if len(words) >= near_words else None)
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string() if with_text else pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["d", "k", "n", "h", "words", "x"])
+                    if len(words) >= min_words:
+                        row = (d, k, n, *_hashes(" ".join(words)), halves(words) if len(words) >= near_words else None)
+                        for c, v in zip(cols, row, strict=True):
+                            c.append(v)
+            yield _named(cols, ["d", "k", "n", "h1", "h2", "x"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
 
-    return docs.mapInArrow(run, f"d long, k long, n int, h binary, words int, x {'string' if with_text else 'array<long>'}")
+    return docs.mapInArrow(run, "d long, k long, n int, h1 long, h2 long, x array<long>")
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(d, k, n, keeper_doc_id, keeper_line): every line to remove, by document
-    (id and hash of the text) and number, with an earlier line that it repeats."""
-    small_batches(df.sparkSession)
-    docs = df.select(*_key(id_col, text_col)).where(F.col("t").isNotNull())
-    lines = materialize(_lines(docs, min_words, max(near_words, min_words, 2), False))
-    first = F.struct("d", "k", "n")
-    unique = materialize(lines.groupBy("h").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("x").alias("x")))
+def _field(keys: DataFrame) -> np.ndarray:
+    """A bit field of the keys. Its size is fixed: with more keys more of it is
+    set, and it lets more through; what passes is compared exactly later."""
+    at = keys.select(F.shiftrightunsigned("key", 64 - _BITS).alias("at")).distinct().toArrow().column("at").to_numpy()
+    out = np.zeros(1 << _BITS, bool)
+    out[at] = True
+    return out
+
+
+def _candidates(docs: DataFrame, near_words: int, shared: np.ndarray) -> DataFrame:
+    """(h1, h2, d, n, front, back, x) of lines of which a half is shared:
+    ``front``, if the first half is, so that an edit can lie behind it only."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple] = {}  # copies within a task: the earliest
 
-    # lines that share a half with another line
-    half = unique.where(F.col("x").isNotNull()).select("h", F.explode("x").alias("key"))
-    shared = half.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    some = half.join(shared, "key", "left_semi").select("h").distinct()
-    texts = materialize(_lines(docs, min_words, max(near_words, min_words, 2), True).join(unique.select("h", "first"), "h").where(F.struct("d", "k", "n") == F.col("first")).join(some, "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"), F.first("x").alias("x")))
+        def flush() -> pa.RecordBatch:
+            cols = [list(c) for c in zip(*((*h, *v) for h, v in held.items()), strict=True)] if held else [[] for _ in kinds]
+            held.clear()
+            return _named(cols, ["h1", "h2", "d", "n", "front", "back", "x"], kinds)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, keys, kinds = [], [], []
-            for h, x in zip(b.column("h").to_pylist(), b.column("x").to_pylist(), strict=True):
-                swap, drop, own = variants(x.split(" "))
-                hs += [h] * (len(swap) + len(drop) + 1)
-                keys += [swap, drop, np.array([own])]
-                kinds += [np.zeros(len(swap), np.int8), np.ones(len(drop), np.int8), np.full(1, 2, np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.concatenate([np.zeros(0, np.int8), *kinds]))], ["h", "key", "kind"])
-
-    # the line's place in the order goes with its variants
-    line = F.struct("first", "h")
-    keyed = materialize(texts.select("h", "x").mapInArrow(emit, "h binary, key long, kind tinyint").join(texts.select("h", "first"), "h").select("key", "kind", line.alias("line")))
-    of = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("line")))
-    best = keyed.groupBy("key").agg(of(0).alias("swap"), of(1).alias("drop"), of(2).alias("own"), F.count("*").alias("c")).where("c > 1").drop("c")
+            for d, t in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), strict=True):
+                for n, line in enumerate((t or "").split("\n")):
+                    words = line_words(line)
+                    if len(words) < near_words:
+                        continue
+                    hit = shared[np.array(halves(words), np.int64).view(np.uint64) >> np.uint64(64 - _BITS)]
+                    front, back = bool(hit[::2].any()), bool(hit[1::2].any())
+                    if front or back:
+                        text = " ".join(words)
+                        h = _hashes(text)
+                        if h not in held or (d, n) < held[h][:2]:
+                            held[h] = (d, n, front, back, text)
+            if len(held) > 20_000:
+                yield flush()
+        yield flush()
+
+    out = docs.mapInArrow(run, "h1 long, h2 long, d long, n int, front boolean, back boolean, x string")
+    return out.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("front").alias("front"), F.first("back").alias("back"), F.first("x").alias("x"))
+
+
+def _variants(texts: DataFrame, only: np.ndarray | None) -> DataFrame:
+    """(place, key, kind): kind 0 replacement, 1 deletion, 2 the line itself.
+    ``only``: a bit field of keys that others have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, keys, kinds = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+            for i, (x, front, back) in enumerate(zip(b.column("x").to_pylist(), b.column("front").to_pylist(), b.column("back").to_pylist(), strict=True)):
+                words = x.split(" ")
+                swap, drop, own = variants(words)
+                n, h = len(words), (len(words) - 1) // 2
+                lo, hi = 0 if back else h, n if front else n - h
+                swap, drop = swap[lo:hi], np.unique(drop[lo:hi])
+                key = np.concatenate([swap, drop, [own]])
+                kind = np.repeat(np.array([0, 1, 2], np.int8), [len(swap), len(drop), 1])
+                if only is not None:
+                    hit = only[key.view(np.uint64) >> np.uint64(64 - _BITS)]
+                    key, kind = key[hit], kind[hit]
+                at += [i] * len(key)
+                keys.append(key)
+                kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([b.column("place").take(pa.array(at, pa.int64())), pa.array(np.concatenate(keys)), pa.array(np.concatenate(kinds))], ["place", "key", "kind"])
+
+    return texts.select("place", "front", "back", "x").mapInArrow(run, "place decimal(32,0), key long, kind tinyint")
+
+
+def _near(texts: DataFrame) -> DataFrame:
+    """(place, by): lines that are near to an earlier one, verified."""
+    of = lambda k: F.min(F.when(F.col("kind") == k, F.col("place")))
+    best = _variants(texts, None).groupBy("key").agg(of(0).alias("swap"), of(1).alias("drop"), of(2).alias("own"), F.count("*").alias("c")).where("c > 1").drop("c")
+    best = materialize(best)
+    keyed = _variants(texts, _field(best))
     earlier = F.when(F.col("kind") == 0, F.col("swap")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("drop"))
-    links = keyed.join(best, "key").select(F.col("line.h").alias("h"), F.col("line.first").alias("first"), earlier.alias("by")).where(F.col("by").isNotNull() & (F.col("by.first") < F.col("first")))
-    links = links.select("h", F.col("by.h").alias("by_h"), F.col("by.first").alias("by")).distinct()
-    words = texts.select("h", "x")
-    both = links.join(words, "h").join(words.select(F.col("h").alias("by_h"), F.col("x").alias("y")), "by_h")
+    links = keyed.join(best, "key").select("place", earlier.alias("by")).where("by < place").distinct()
+    both = links.join(texts.select("place", "x"), "place").join(texts.select(F.col("place").alias("by"), F.col("x").alias("y")), "by")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [edits(x.split(" "), y.split(" ")) <= 1 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-            yield b.select(["h", "by"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["place", "by"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("place", "by", "x", "y").mapInArrow(verify, "place decimal(32,0), by decimal(32,0)").groupBy("place").agg(F.min("by").alias("by"))
 
-    near = both.select("h", "by", "x", "y").mapInArrow(verify, "h binary, by struct<d:long,k:long,n:int>").groupBy("h").agg(F.min("by").alias("by"))
-    repeated = unique.where("copies > 1").select("h", "first")
-    act = repeated.join(near, "h", "full").select("h", "first", "by")
-    out = lines.select("d", "k", "n", "h").join(act, "h")
-    keeper = F.least(F.col("by"), F.when(F.col("first") < F.struct("d", "k", "n"), F.col("first")))
-    return out.withColumn("keeper", keeper).where(F.col("keeper").isNotNull()).select("d", "k", "n", F.col("keeper.d").alias("keeper_doc_id"), F.col("keeper.n").alias("keeper_line"))
+
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(d, k, n, keeper_doc_id, keeper_line): every line to remove, by document
+    (id and hash of the text) and number, with an earlier line that it repeats."""
+    small_batches(df.sparkSession)
+    near_words = max(near_words, min_words, 2)
+    docs = df.select(*_key(id_col, text_col)).where(F.col("t").isNotNull())
+    lines = materialize(_lines(docs, min_words, near_words))
+    half = lines.where(F.col("x").isNotNull()).select("h1", F.explode("x").alias("key"))
+    shared = _field(half.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b"))
+    texts = materialize(_candidates(docs.select("d", "t"), near_words, shared))
+    near = texts.select("h1", "h2", "place").join(_near(texts), "place").select("h1", "h2", "by")
+    copies = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    act = materialize(copies.join(near, ["h1", "h2"], "full"))
+    keeper = F.least("by", F.when(F.col("first") < _place(), F.col("first")))
+    out = lines.select("d", "k", "n", "h1", "h2").join(act, ["h1", "h2"]).withColumn("keeper", keeper).where(F.col("keeper").isNotNull())
+    ten = F.lit(10**10).cast("decimal(11,0)")
+    line = F.pmod(F.col("keeper"), ten)
+    return out.select("d", "k", "n", ((F.col("keeper") - line) / ten).cast("long").alias("keeper_doc_id"), line.cast("int").alias("keeper_line"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """``df`` with the text shortened to the kept lines; ``_ld_removed`` lists
     the removed lines: (line, keeper_doc_id, keeper_line)."""
-    gone = removed_lines(df, id_col, text_col, min_words, near_words)
+    gone = materialize(removed_lines(df, id_col, text_col, min_words, near_words))
     per = gone.groupBy("d", "k").agg(F.array_sort(F.collect_set(F.struct(F.col("n").alias("line"), "keeper_doc_id", "keeper_line"))).alias("_ld_removed")).select(F.col("d").alias("_ld_d"), F.col("k").alias("_ld_k"), "_ld_removed")
     d, k, t = _key(id_col, text_col)
     joined = df.join(per, (d == F.col("_ld_d")) & (k == F.col("_ld_k")), "left").drop("_ld_d", "_ld_k")
