@@ -187,27 +187,23 @@ def ema(df, scope, x, prefix, o: EmaOptions = EmaOptions()):
     lone = not keys
     if lone:
         df, keys = df.withColumn("__one", F.lit(1)), ["__one"]
-    out = T.StructType([*df.schema.fields, T.StructField(f"{prefix}_ema", T.DoubleType()), T.StructField(f"{prefix}_ema_residual", T.DoubleType()), T.StructField(f"{prefix}_ema_ratio", T.DoubleType())])
+    df = df.withColumns({"__v": F.coalesce(_x(x), F.lit(0.0)), "__valid": F.col(x).isNotNull()})
+    out = T.StructType([*df.schema.fields, T.StructField("__e", T.DoubleType()), T.StructField("__ok", T.BooleanType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        v = pdf["__v"].to_numpy(float)
-        e, state, seen = np.full(len(v), np.nan), 0.0, 0
-        ok = np.zeros(len(v), bool)
-        for i, (value, valid) in enumerate(zip(v.tolist(), pdf["__ok"].tolist(), strict=True)):
+        e, ok, state, seen = np.zeros(len(pdf)), np.zeros(len(pdf), bool), 0.0, 0
+        for i, (value, valid) in enumerate(zip(pdf["__v"].tolist(), pdf["__valid"].tolist(), strict=True)):
             if valid:
                 state = value if seen == 0 else o.alpha * value + (1 - o.alpha) * state
                 seen += 1
                 e[i], ok[i] = state, seen >= o.min_periods
-        pdf = pdf.drop(columns=["__v", "__ok"])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(e == 0, np.nan, v / e)
-        for name, col in (("ema", e), ("ema_residual", v - e), ("ema_ratio", ratio)):
-            pdf[f"{prefix}_{name}"] = pd.array([c if k else None for c, k in zip(col.tolist(), ok.tolist(), strict=True)], dtype=object)
-        return pdf
-
-    df = df.withColumns({"__v": F.coalesce(_x(x), F.lit(0.0)), "__ok": F.col(x).isNotNull()}).groupBy(*keys).applyInPandas(run, out)
-    return df.drop("__one") if lone else df
+        return pdf.assign(__e=e, __ok=ok)
+
+    df = df.groupBy(*keys).applyInPandas(run, out)
+    e, v = F.coalesce(F.col("__e"), F.lit(NAN)), F.col("__v")  # pandas gives NaN back as null
+    g = lambda c: F.when(F.col("__ok"), c)
+    return add(df, prefix, {"ema": g(e), "ema_residual": g(v - e), "ema_ratio": g(nz(v, e))}, ("__v", "__valid", "__e", "__ok", *(("__one",) if lone else ())))
 
 
 def linear_fit(df, scope, x, y, prefix, o: ExpandingOptions = ExpandingOptions(2)):

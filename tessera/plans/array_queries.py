@@ -115,10 +115,10 @@ def array_convolve(spark, sf_dir):
 _SQL_LOSS = {"mse": "(p - t) * (p - t)", "l1": "abs(p - t)", "smooth_l1": "case when abs(p - t) < 1 then 0.5 * (p - t) * (p - t) else abs(p - t) - 0.5 end", "bce_with_logits": "greatest(p, 0) - p * t + ln(1 + exp(-abs(p)))", "hinge": "greatest(1 - p * t, 0)", "soft_margin": "ln(1 + exp(-p * t))", "poisson_nll": "exp(p) - t * p"}
 
 
-@query(f"select user_id, {', '.join(f'round(avg({e}), {D}) as {k}' for k, e in _SQL_LOSS.items())} from (select user_id, round(value) / 100 as p, (event_id % 2)::double as t from events) group by all")
+@query(f"select user_id, {', '.join(f'round(avg({e}), 9) as {k}' for k, e in _SQL_LOSS.items())} from (select user_id, round(value) / 100 as p, (event_id % 2)::double as t from events) group by all")
 def losses(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "round(value) / 100 as p", "cast(event_id % 2 as double) as t")
-    return df.groupBy("user_id").agg(*(_r(F.avg(LOSSES[k](F.col("p"), F.col("t")))).alias(k) for k in _SQL_LOSS))
+    return df.groupBy("user_id").agg(*(F.round(F.avg(LOSSES[k](F.col("p"), F.col("t"))), 9).alias(k) for k in _SQL_LOSS))
 
 
 # --- coordinate arrays: (vec_id, dimension) of the vectors ---
