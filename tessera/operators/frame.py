@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -241,6 +242,48 @@ class Frame:
         out = both.where("__side = 0").withColumn("__m", F.when(F.col("__k").isNotNull(), F.col("__m")))
         return self._new(out.select("__l.*", *(F.col(f"__m.p.{c}").alias(n) for c, n in names.items())))
 
+    # --- frames without a partition key, over the cluster ---
+
+    def rolling_blocked(self, apply: Callable[[Frame], Frame], behind: int, ahead: int = 0, blocks: int | None = None) -> Frame:
+        """``apply``, in blocks: for operators whose windows reach at most
+        ``behind`` rows back and ``ahead`` rows on (rolling and lag-like profiles,
+        not streaks or expanding ones) over a frame without a partition key,
+        ordered first by a number or time.
+
+        Blocks are ranges of the first order column, bounded by its quantiles;
+        each also holds the last and first rows of its neighbours, as far as
+        windows reach, and these are dropped again after ``apply``.
+        """
+        if self.partition:
+            return apply(self)
+        first = F.col(self.order[0])
+        key = first.cast("double") if isinstance(self.column_dtype(self.order[0]), _NUMERIC) else F.unix_micros(first.cast("timestamp")).cast("double")
+        n = blocks or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cuts = sorted(set(self.df.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+
+        def placed(cuts: list[float]) -> DataFrame:
+            slot = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < key)) if cuts else F.lit(0)
+            return self.df.withColumn("__block", F.when(key.isNull(), F.lit(0)).otherwise(slot).cast("int"))
+
+        # blocks that windows would reach across are joined to the next; one number a block
+        count = {r["__block"]: r["count"] for r in placed(cuts).groupBy("__block").count().collect()}
+        kept, held = [], 0
+        for i, c in enumerate(cuts):
+            held += count.get(i, 0)
+            if held >= max(behind, ahead, 1):
+                kept, held = [*kept, c], 0
+        if kept and held + count.get(len(cuts), 0) < max(behind, ahead, 1):
+            kept.pop()
+        df = placed(kept)
+        parts = [df.withColumn("__own", F.lit(True))]
+        for reach, step, way in ((behind, 1, "desc"), (ahead, -1, "asc")):
+            if reach:
+                w = Window.partitionBy("__block").orderBy(*(getattr(F.col(c), way)() for c in self.order))
+                edge = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= reach).drop("__rn")
+                parts.append(edge.withColumns({"__block": F.col("__block") + step, "__own": F.lit(False)}))
+        out = apply(Frame(reduce(DataFrame.unionByName, parts), self.order, ["__block"])).df
+        return self._new(out.where("__own").drop("__own", "__block"))
+
     # --- aggregation ---
 
     def _groups(self, keys, value: str | None) -> DataFrame:

@@ -242,4 +242,15 @@ QUERIES = {name: _query(f) for name, (f, _) in SPECS.items()} | {
     "robust_profile": _query(lambda f: f.robust_profile("x", "o", EXPAND)),
     "ema_profile": _query(lambda f: f.ema_profile("x", "o", EmaOptions(0.25, 2))),
 }
+
+
+def rolling_profile_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame without a partition key, in blocks."""
+    f = Frame(events(spark, sf_dir).df, ["event_id"])
+    out = f.rolling_blocked(lambda g: g.rolling_profile("x", "o", ROLL), behind=ROLL.window - 1).df
+    return rounded(out.select("event_id", *(c for c in out.columns if c.startswith("o_"))))
+
+
+QUERIES["rolling_profile_blocked"] = rolling_profile_blocked
 ORACLE_SQL = {name: _select("o", cols) for name, (_, cols) in SPECS.items()} | {"linear_fit_profile": _FIT, "robust_profile": _ROBUST, "ema_profile": _EMA}
+ORACLE_SQL["rolling_profile_blocked"] = ORACLE_SQL["rolling_profile"].replace("wr as (partition by user_id order", "wr as (order")

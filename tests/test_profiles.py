@@ -128,3 +128,14 @@ def test_empty_frame(spark):
     f = frame_of(spark, [], "rid int, x double")
     assert f.rolling_profile("x", "p", RollingOptions(3)).df.count() == 0
     assert f.expanding_rank_profile("x", "p", ExpandingOptions()).df.count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 50])
+def test_blocks_give_what_one_window_gives(spark, blocks):
+    rows = [(i, float((i * 37) % 11) if i % 5 else None) for i in range(120)]
+    f = frame_of(spark, rows, "rid int, x double")
+    o = RollingOptions(5, 2)
+    whole = f.rolling_profile("x", "p", o).lead_profile("x", "q", LagOptions(2))
+    block = f.rolling_blocked(lambda g: g.rolling_profile("x", "p", o).lead_profile("x", "q", LagOptions(2)), behind=4, ahead=2, blocks=blocks)
+    assert block.df.columns == whole.df.columns
+    assert [repr(tuple(r)) for r in block.collect()] == [repr(tuple(r)) for r in whole.collect()]
