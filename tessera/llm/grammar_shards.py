@@ -41,48 +41,55 @@ HEAD = struct.Struct("<4s6IQ")
 SHARD_TOKENS = 1 << 20
 #: Documents in one bucket of consecutive ids, and the most buckets.
 BUCKET_DOCS, MAX_BUCKETS = 4096, 8192
-#: Rounds of pair replacement, and the occurrences that make a pair frequent.
-ROUNDS, FREQUENT, PAIRS_A_ROUND = 12, 24, 4096
+#: Rounds of pair replacement, the occurrences that make a pair frequent, and
+#: the share of symbols that a round must save for another to follow.
+ROUNDS, FREQUENT, PAIRS_A_ROUND, LEAST_GAIN = 12, 24, 4096, 0.005
 
 
-def repair(ids: np.ndarray, base: int, barrier: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, barrier: int, rounds: int = ROUNDS, frequent: int = FREQUENT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): a round counts adjacent pairs, takes the frequent ones
     and replaces their occurrences, an occurrence giving way to an overlapping
     one of a more frequent pair. ``barrier`` takes part in no pair."""
-    s, rules, room = ids.astype(np.int64), np.zeros((0, 2), np.int64), (1 << 16) - base
-    for _ in range(rounds):
+    s, rules, room = ids.astype(np.uint32), np.zeros((0, 2), np.int64), (1 << 16) - base
+    for turn in range(rounds):
         if len(s) < 2 or len(rules) >= room:
             break
         a, b = s[:-1], s[1:]
-        h = (a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFF
-        full = np.bincount(h, minlength=1 << 20) >= frequent
-        at = np.flatnonzero(full[h] & (a != barrier) & (b != barrier))
-        pairs, inverse, n = np.unique(a[at] << 32 | b[at], return_inverse=True, return_counts=True)
-        best = np.argsort(-n, kind="stable")[: min(PAIRS_A_ROUND, room - len(rules))]
-        best = best[n[best] >= frequent]
+        # a place of the table stands for the pair that was written to it last;
+        # others there wait for the next round, which hashes differently
+        h = ((a * np.uint32(0x9E3779B1 - 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(12)).astype(np.int64)
+        able = np.flatnonzero((np.bincount(h, minlength=1 << 20) >= frequent)[h] & (a != barrier) & (b != barrier))
+        h, pair = h[able], a[able].astype(np.int64) << 32 | b[able]
+        owner = np.full(1 << 20, -1, np.int64)
+        owner[h] = pair
+        same = owner[h] == pair
+        at, h = able[same], h[same]
+        n = np.bincount(h, minlength=1 << 20)
+        best = np.flatnonzero(n >= frequent)
+        best = best[np.argsort(-n[best], kind="stable")[: min(PAIRS_A_ROUND, room - len(rules))]]
         if not len(best):
             break
-        symbol = np.full(len(pairs), -1, np.int64)
-        symbol[best] = np.arange(len(best))
-        weight = np.zeros(len(s) + 1, np.int64)
-        take = symbol[inverse] >= 0
-        at, inverse = at[take], inverse[take]
-        weight[at + 1] = n[inverse]
-        won = (weight[at + 1] > weight[at]) & (weight[at + 1] >= np.append(weight, 0)[at + 2])
-        at, inverse = at[won], inverse[won]
-        used = np.bincount(symbol[inverse], minlength=len(best))
-        keep = used * 2 >= frequent
+        number = np.full(1 << 20, -1, np.int64)
+        number[best] = np.arange(len(best))
+        code = number[h]
+        at, code = at[code >= 0], code[code >= 0]
+        weight = np.zeros(len(s) + 2, np.int32)
+        weight[at + 1] = n[best[code]]
+        won = (weight[at + 1] > weight[at]) & (weight[at + 1] >= weight[at + 2])
+        at, code = at[won], code[won]
+        keep = np.bincount(code, minlength=len(best)) * 2 >= frequent
         if not keep.any():
             break
-        number = np.cumsum(keep) - 1
-        ok = keep[symbol[inverse]]
-        at, code = at[ok], number[symbol[inverse[ok]]]
-        new = pairs[best[keep]]
+        ok = keep[code]
+        at, code = at[ok], (np.cumsum(keep) - 1)[code[ok]]
+        new = owner[best[keep]]
         s[at] = base + len(rules) + code
         left = np.ones(len(s), bool)
         left[at + 1] = False
-        s = s[left]
+        done, s = len(at) < least_gain * len(s), s[left]
         rules = np.concatenate([rules, np.stack([new >> 32, new & 0xFFFFFFFF], 1)])
+        if done:
+            break
     return s, rules
 
 
