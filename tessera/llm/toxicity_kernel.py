@@ -42,13 +42,19 @@ ODDS = 1e-7
 #: Offsets of the characters of a subsequence; at most two are skipped.
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 3, 4))
 _OUTER = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>|#$%&*+-_=/\\~`^@«»“”„…"
+#: Digits and signs that stand for letters.
+_LOOKALIKE = str.maketrans("01345@$!", "oieasasi")
 _SINGLES = re.compile(r"(?<!\S)(?:\w[.\-*_]? ){2,}\w(?!\w)")
 
 
 def units(token: str) -> list[str]:
-    """The word of a token, in overlapping parts if it is long."""
+    """The words of a token: as it stands, and by its letters alone if there are
+    other characters within; in overlapping parts if it is long."""
     w = token.strip(_OUTER).lower()
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - 8, LONGEST - 8)]
+    words = [w]
+    if not w.isalpha() and sum(map(str.isalpha, w)) > 2:
+        words.append("".join(filter(str.isalpha, w.translate(_LOOKALIKE))))
+    return [p for w in words for p in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - 8, LONGEST - 8)])]
 
 
 def spaced(word: str, rng: np.random.Generator) -> list[str]:
