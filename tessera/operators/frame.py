@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.functions.expressions import NAN, ieee_div, nz
+from tessera.functions.expressions import NAN, ieee_div
 from tessera.operators.profiles import PROFILES, Scope, add
 from tessera.plans.options import AsofOptions, JoinOptions, SortOptions
 
@@ -381,5 +381,3 @@ def frame_of(spark: SparkSession, rows: object, schema: object = None, order: Se
     """A frame from local rows, an Arrow table or pandas."""
     return Frame(spark.createDataFrame(rows, schema) if schema is not None else spark.createDataFrame(rows), order, partition)
 
-
-__all__ = ["Frame", "frame_of", "nz"]

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators import series
 from tessera.operators.arrays import BINARY, LOSSES, UNARY, Coo, einsum, vec
@@ -304,5 +303,3 @@ def random_moments(spark, sf_dir):
     rows = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(20000).alias("n"), (F.abs(F.col(k) - e) <= 0.02).alias("close")) for k, e in expected.items()))
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "T"]

@@ -1,0 +1 @@
+"""Reserved: every operator so far is a batch operator."""
