@@ -128,3 +128,33 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document: near copies share one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs).select("doc_id", "class_id", "keeper")
+
+_FORMS = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_FORMS)
+ORACLE_SQL["op7_quality_rules"] = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+  w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+  g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)),
+  many as (select doc_id, g from g group by doc_id, g having count(*) > 1),
+  covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from g join many using (doc_id, g)) group by doc_id),
+  m as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+          (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, len(list_filter(w, lambda x: list_contains([{_FORMS}], x)))::bigint as n_stop_words
+        from w left join covered c using (doc_id)),
+  r as (select *, n_words >= 10 as r1, coalesce(n_repeat_words <= 0.2::double * n_words and n_words > 0, false) as r2, coalesce(word_chars / nullif(n_words, 0) between 2 and 15, false) as r3, coalesce(n_symbols / nullif(n_words, 0) <= 0.2::double, false) as r4,
+          coalesce(n_stop_words / nullif(n_words, 0) >= 0.02::double, false) as r5, coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5::double, false) as r6 from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, not (r1 and r2) as base_failed, r1 and r2 and r3 and r4 and r5 and r6 as kept, n_lines, n_stop_words,
+  list_filter([case when not r1 then 'enough_words' end, case when not r2 then 'few_repeats' end, case when not r3 then 'word_length' end, case when not r4 then 'symbols' end, case when not r5 then 'stop_words' end, case when not r6 then 'dup_lines' end], lambda x: x is not null) as failed_rules
+from r
+"""
+
+ORACLE_SQL["op1_decontamination"] = r"""
+with f as (select 'd' as kind, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+           union all select 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+  b as (select distinct id as item, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as win from (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from f where kind = 'b' and len(w) > 0)),
+  s as (select distinct n from b),
+  x as (select id, i, n, array_to_string(w[i:i + n - 1], ' ') as win from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from f cross join s where kind = 'd' and len(w) >= n)),
+  h as (select x.id, x.i, x.n, b.item from x join b using (n, win)),
+  c as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from h) group by id),
+  k as (select id, count(distinct item) as n_items, string_agg(distinct item::varchar, ',' order by item::varchar) as items from h group by id)
+select f.id as doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from f left join c using (id) left join k using (id) where kind = 'd'
+"""
