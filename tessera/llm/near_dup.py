@@ -14,10 +14,10 @@ similarity itself. Classes are the connected components of the verified links.
   a document) / RARE of them, whatever the corpus' size.
 * Samples come from tables of 2**16 random (r, c, beta): an element's place in
   them is a hash, and for the most common weight the samples are tabled too.
-* A bucket is not expanded into pairs. Its members meet its least member, then
-  random pivots where several classes are left in it, and only classes still
-  apart after that meet each other; pairs whose total weights rule out the
-  similarity are skipped.
+* A bucket is not expanded into pairs. Its members meet its least member; where
+  several classes are left in it after that, members outside the main class meet
+  those of other classes, in chunks of bounded size, and links alone come out.
+  Pairs whose total weights rule out the similarity are skipped.
 
 Defined results: words are as in ``phrase_index``; a text of one to four words
 is one shingle; a null text or one without words is a class of its own; rows
@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,8 @@ BANDS, BAND_ROWS = 24, 6
 #: Share of the documents from which on a shingle's weight falls; documents of a chunk.
 RARE, CHUNK = 1 / 32, 1024
 _BITS = 20
+#: Members of a bucket in one chunk.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240501)
 _POW = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -283,6 +286,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _meet(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between classes within buckets. Rows are (band, g, label,
+    main, n): members outside the bucket's main class meet all members of other
+    classes. A bucket is dealt in chunks of ``BLOCK`` members, and a task holds
+    two chunks; no pairs are emitted but links."""
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("g"), chunks).cast("int")
+    dealt = rest.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    keyed = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "g", "label", (F.col("label") != F.col("main")).alias("odd")).join(sets, "g")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = [unpack(x) for x in pdf["x"]]
+        at = np.cumsum([0, *(len(s) for s, _ in packed)])
+        ids, number = np.unique(np.concatenate([s for s, _ in packed]), return_inverse=True)
+        w = np.concatenate([v for _, v in packed])
+        total = np.add.reduceat(w, at[:-1])
+        names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        g, mine = pdf["g"].to_numpy(), np.zeros(len(ids))
+        out = []
+        for i in np.flatnonzero(pdf["odd"].to_numpy()):
+            here = slice(at[i], at[i + 1])
+            mine[number[here]] = w[here]
+            both = np.add.reduceat(np.minimum(w, mine[number]), at[:-1])
+            mine[number[here]] = 0
+            near = both >= (least - 1e-9) * (total + total[i] - both)
+            for j in np.flatnonzero(near & (label != label[i])):
+                if label[i] != label[j]:  # not linked meanwhile
+                    out.append((g[i], g[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return keyed.groupBy("band", "lo", "hi").applyInPandas(run, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(g, label) of all ends of the edges (a, b): the least end of each
     connected component, by rounds of least labels and pointer jumps."""
@@ -314,30 +351,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = materialize(members.join(buckets, "band"))  # members of buckets of two texts and more
     pairs = materialize(met.where((F.col("g") != F.col("lead.g")) & fits(F.col("total"), F.col("lead.total"))).select(F.col("lead.g").alias("a"), F.col("g").alias("b")).distinct())
     sets = materialize(_sets(docs.select("t"), met.select("g").distinct(), weight))
-    edges = tested = None
-    for pivots in (4, 16, None):
-        links = materialize(_verified(pairs, sets, least))
-        edges = links if edges is None else edges.unionAll(links)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        labels = components(edges)
-        # buckets in which several classes are left
-        named = met.select("band", "g", "total").join(labels, "g", "left").withColumn("label", F.coalesce("label", "g"))
-        apart = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        rest = materialize(named.join(apart, "band", "left_semi"))
-        if pivots:
-            salt = F.pmod(F.xxhash64("g", F.lit(pivots)), F.lit(pivots))
-            heads = rest.groupBy("band", salt.alias("s")).agg(F.min(F.struct(F.xxhash64("g"), "g", "total", "label")).alias("p")).select("band", "p.*")
-        else:
-            heads = rest
-        heads = heads.select("band", F.col("g").alias("pg"), F.col("total").alias("pt"), F.col("label").alias("pl"))
-        new = rest.join(heads, "band").where((F.col("label") != F.col("pl")) & fits(F.col("total"), F.col("pt")))
-        new = new.select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct()
-        pairs = materialize(new.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-    else:
-        edges = edges.unionAll(materialize(_verified(pairs, sets, least)))
-        labels = components(edges)
+    links = materialize(_verified(pairs, sets, least))
+    labels = components(links)
+    # buckets in which several classes are left: their smaller classes meet all
+    named = met.select("band", "g").join(labels, "g", "left").withColumn("label", F.coalesce("label", "g"))
+    sizes = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    rest = materialize(named.join(sizes, "band"))
+    if not rest.isEmpty():
+        links = links.unionAll(materialize(_meet(rest, sets, least)))
+        labels = components(links)
     own = signed.where(F.col("g").isNotNull()).groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "g")).alias("first"))
     labelled = own.join(labels, "g", "left").withColumn("label", F.coalesce("label", "g"))
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
