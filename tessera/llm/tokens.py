@@ -67,7 +67,7 @@ class ChunkEncoder:
         if spec["pre_tokenizer"] and spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["normalizer"] is None and not spec["pre_tokenizer"]["add_prefix_space"]:
             self.cut = self._cut_byte_level
         elif '"Removed"' in pre and "\\\\s+" in norm:  # white space separates pieces and is dropped
-            self.cut = self._cut_white
+            self.cut = self._cut_white if "Lowercase" in norm else lambda text: self._cut_white(text, False)
         else:
             self.cut = lambda text: [text]
         letters = bytes_to_letters()
@@ -81,7 +81,13 @@ class ChunkEncoder:
         self.limit, self.new, self.old = cache, {}, {}
 
     @staticmethod
-    def _cut_white(text: str) -> list[str]:
+    def _cut_white(text: str, lower: bool = True) -> list[str]:
+        if lower:
+            try:  # in Latin-1, lowering first changes no id, and fewer chunks differ
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         return [w for w in _ASCII_WHITE.split(text) if w]
 
     @staticmethod
