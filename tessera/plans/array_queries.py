@@ -126,8 +126,9 @@ _M = "(select vec_id as i0, unnest(range(64)) as i1, unnest(embedding)::double a
 
 
 def _matrix(spark, sf_dir) -> Coo:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
-    return Coo(e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (200, 64))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = e.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+    return Coo(e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (n, 64))
 
 
 @query(f"select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), {D}) as v from {_M} a join {_M} b on a.i0 = b.i0 group by all")
@@ -144,7 +145,9 @@ def einsum_rowwise(spark, sf_dir):
 
 @query(f"select (i0 * 64 + i1) // 320 as i0, (i0 * 64 + i1) % 320 as i1, v from (select 199 - i0 as i0, (i1 + 3) % 64 as i1, v from {_M})")
 def coo_transforms(spark, sf_dir):
-    return _matrix(spark, sf_dir).flip(0).roll(3, 1).reshape((-1, 320)).df.select("i0", "i1", "v")
+    m = _matrix(spark, sf_dir)
+    # rows of 320 hold five of 64: the last one is filled up, so any count will do
+    return m.flip(0).roll(3, 1).pad(0, 0, -m.shape[0] % 5).reshape((-1, 320)).df.select("i0", "i1", "v")
 
 
 @query(f"select i0 - 10 as i0, i1, v from {_M} where i0 >= 10 and i0 < 60 and i1 - (i0 - 10) >= 2")
