@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from tessera.plans import relational_queries
 from tessera.plans.array_queries import QUERIES
 
 
@@ -41,3 +42,24 @@ def test_coordinate_queries_take_all_vectors(spark, vectors):
     close(dense(c, a.shape, "c"), a.cumsum(1))
     close(dense(c, a.shape, "p"), e / e.sum(1, keepdims=True))
     close(dense(run("coo_broadcast"), a.shape), a - a.mean(0))
+
+
+def test_joins_on_two_keys_take_all_customers(spark, tmp_path):
+    s = [(k, k * 7 % 25, float(k)) for k in range(1, 13)]
+    c = [(k, k * 11 % 25, float(k)) for k in range(1, 41)]
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(c, "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    keys = lambda rows: {r[0]: (r[1], r[0] % 3) for r in rows}
+    left, right = keys(s), keys(c)
+    pairs = {(a, b) for a in left for b in right if left[a] == right[b]}
+    met, of = {a for a, _ in pairs}, {b for _, b in pairs}
+    assert met != set(left) and any(b % 10 != 1 for b in of)
+    alone = {(a, None) for a in set(left) - met}
+    rest = {(None, b) for b in set(right) - of}
+    rows = lambda name: sorted(relational_queries.QUERIES[name](spark, str(tmp_path)).collect(), key=str)
+    by = lambda found: sorted(found, key=str)
+    assert by(tuple(r) for r in rows("inner_join_on")) == by(pairs)
+    assert by(tuple(r) for r in rows("left_join_on")) == by(pairs | alone)
+    assert by(tuple(r) for r in rows("full_join_on")) == by((a, b, *(left[a] if a else right[b])) for a, b in pairs | alone | rest)
+    assert by(r[0] for r in rows("semi_join_on")) == by(met)
+    assert by(r[0] for r in rows("anti_join_on")) == by(set(left) - met)
