@@ -99,8 +99,8 @@ def array_order(spark, sf_dir):
 select vec_id, list_sort(list_distinct(a)) as u, list_sort(list_distinct(list_concat(a, b))) as un, list_sort(list_distinct(list_intersect(a, b))) as i, list_sort(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))) as d,
 len(list_filter(a, lambda x: list_contains(b, x))) as n from s""")
 def array_sets(spark, sf_dir):
-    cut = lambda k: F.transform(F.slice("a", k, 20), lambda x: F.floor(x * 4))
-    df = _vectors(spark, sf_dir).select("vec_id", cut(1).alias("p"), cut(21).alias("q"))
+    cut = lambda k: F.transform(F.slice("a", k, 32), lambda x: F.floor(x * 4))
+    df = _vectors(spark, sf_dir).select("vec_id", cut(1).alias("p"), cut(33).alias("q"))
     p, q = F.col("p"), F.col("q")
     return df.select("vec_id", vec.unique(p).alias("u"), vec.union1d(p, q).alias("un"), vec.intersect1d(p, q).alias("i"), vec.setdiff1d(p, q).alias("d"), F.size(F.filter(vec.isin(p, q), lambda x: x)).cast("long").alias("n"))
 
@@ -203,8 +203,7 @@ def sparse_transpose_matvec(spark, sf_dir):
 @query(f"select a.col as row, b.col as col, sum(a.val * b.val) as val from {_SP} a join {_SP} b on a.row = b.row where a.col < 20 and b.col < 20 group by all")
 def sparse_matmat(spark, sf_dir):
     s = _sparse(spark, sf_dir)
-    part = Sparse(s.df.where("col < 20"), 150, 20)
-    return part.transpose_matmat(part).df
+    return s.transpose_matmat(s).df
 
 
 @query(f"""select r as i, count(val) as nnz, coalesce(sum(val), 0) as s, coalesce(sum(abs(val)), 0) as a, round(coalesce(sqrt(sum(val * val)), 0), {D}) as n from range(150) t(r) left join {_SP} on row = r group by all""")

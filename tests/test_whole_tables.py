@@ -44,6 +44,26 @@ def test_coordinate_queries_take_all_vectors(spark, vectors):
     close(dense(run("coo_broadcast"), a.shape), a - a.mean(0))
 
 
+def test_sets_take_both_halves_of_a_vector(spark, vectors):
+    at, a = vectors
+    for r in QUERIES["array_sets"](spark, at).collect():
+        p, q = (np.floor(x * 4).astype(int).tolist() for x in (a[r["vec_id"], :32], a[r["vec_id"], 32:]))
+        want = [sorted(set(p)), sorted({*p, *q}), sorted({*p} & {*q}), sorted({*p} - {*q}), sum(x in q for x in p)]
+        assert [r["u"], r["un"], r["i"], r["d"], r["n"]] == want
+
+
+def test_sparse_product_takes_all_columns(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    cust, key, price = rng.integers(0, 400, 900), np.arange(900), rng.integers(0, 90, 900) * 1000.0
+    pq.write_table(pa.table({"o_custkey": cust, "o_orderkey": key, "o_totalprice": price}), tmp_path / "orders.parquet")
+    s, seen = np.zeros((150, 97)), np.zeros((150, 97))
+    np.add.at(s, (cust % 150, key % 97), price // 1000)
+    np.add.at(seen, (cust % 150, key % 97), 1)
+    seen = seen > 0
+    got = {(r["row"], r["col"]): r["val"] for r in QUERIES["sparse_matmat"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): (s.T @ s)[i, j] for i, j in np.argwhere(seen.T.astype(int) @ seen.astype(int)).tolist()}
+
+
 def test_joins_on_two_keys_take_all_customers(spark, tmp_path):
     s = [(k, k * 7 % 25, float(k)) for k in range(1, 13)]
     c = [(k, k * 11 % 25, float(k)) for k in range(1, 41)]
