@@ -38,6 +38,10 @@ from tessera.llm._common import materialize, small_batches
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 
+#: For whole corpora: exact copies of any line that is not blank, and edits from
+#: five words on, where one word is a fifth of the line.
+ALL_LINES = {"min_words": 1, "near_words": 5}
+
 #: Bits of an address in a bit field.
 _BITS = 22
 _B = 0x9E3779B97F4A7C15 | 1

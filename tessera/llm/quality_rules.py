@@ -36,6 +36,8 @@ STOP_WORDS = (
 #: As they occur: lower case, with a capital, in capitals. Looking forms up is
 #: several times cheaper than lowering every word.
 STOP_FORMS = tuple(dict.fromkeys(f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())))
+#: What may touch a word from outside without making it another word.
+OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›“”„‟‘’‚…–—·"
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             # always true, and never pushed below: a filter on a verdict would
             # otherwise be inlined into the steps above, term by term
             "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, covered).cast("long"),
-            "n_stop_words": F.size(F.filter("_qr_words", lambda w: w.isin(*STOP_FORMS))).cast("long"),
+            "n_stop_words": F.size(F.filter("_qr_words", lambda w: F.btrim(w, F.lit(OUTER)).isin(*STOP_FORMS))).cast("long"),
         }
     ).drop("_qr_words", "_qr_lines", "_qr_grams", "_qr_sorted", "_qr_starts")
     ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))

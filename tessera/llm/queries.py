@@ -95,7 +95,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.size(F.split("text", "\n"))
-    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n_lines))
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n_lines), **line_dedup.ALL_LINES)
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 

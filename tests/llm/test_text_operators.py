@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, main_text, phrase_index, quality_rules
+from tessera.llm import line_dedup, main_text, phrase_index, quality_rules, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "the", "of", "and", "ßtraße", "x", "#tag", "é"]
@@ -43,6 +43,14 @@ def test_quality_rules_equal_brute_force(odd):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_stop_words_count_beside_punctuation(spark):
+    texts = ["Haus (den, Baum des. Wald «De», rot Pas! blau \"THE\" grün", "den,des and/or d'en -- ... the1 Xthe", "the, " * 3 + "word " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_stop_words"] for r in quality_rules.judge(df).orderBy("doc_id").collect()] == [5, 0, 3]
+    clean = spark.createDataFrame([(1, "Alte Bäume stehen still, wo Wasser rauscht; Vögel singen den, Kinder spielen")], "doc_id long, text string")
+    assert quality_rules.judge(clean).first()["kept"]
+
+
 def test_quality_rules_are_native_and_a_filter_stays_small(odd):
     kept = quality_rules.keep_good(odd.withColumn("n_words", F.lit("clash")))
     assert kept.columns == [*odd.columns, "n_words"]
@@ -137,6 +145,23 @@ def test_line_dedup_equals_brute_force(spark):
         assert out[d]["text"] == keep and out[d]["d"] == "clash"
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(14)]
+
+    def line():
+        w = list(rng.choice(base))
+        if rng.random() < 0.4:
+            w[rng.randrange(len(w))] = rng.choice(["new", "sub"])
+        return " ".join(w)
+
+    docs = [(i, "\n".join([line() for _ in range(rng.randint(1, 4))] + ["", " "])) for i in range(40)] + [(50, None), (51, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    gone = Counter(d for d, _ in near_by_hand(docs, 1, 5))
+    rows = queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {d: gone[d] for d, _ in docs}
+
+
 PAGE = """<html><head><title>T</title><script>var t = "</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a>News</a></li></ul></nav>
 <div id="cookie-notice"><p>We use cookies on this site.</p></div><article><h1>Title &amp; more</h1><p>First <b>bold</b> text with a <a href="x" title="a > b">link</a>.<br>Second&nbsp;line &lt;here&gt;.
 <p>Third<ul><li>Item</li></ul><div class="advert">Buy now</div></article><section id="comments"><p>I liked this article very much, thank you.</p></section><footer>&copy; us</footer></body></html>"""
