@@ -5,19 +5,23 @@ order into shards of bounded size, and replaces frequent id pairs of each shard
 by nonterminals, round after round, until no pair is frequent. A shard holds
 the rules, the expanded length of every symbol, and the documents' offsets both
 in symbols and in tokens, so any document, or any range of one, is decoded
-without the rest. Rules never cross the end of a document.
+without the rest. Rules never cross the end of a document. Vocabularies and
+rules may be of any number; symbols take as many bits as they need.
 
 Shards are values in Parquet rows, so they can lie in any store that Spark
 reaches and are written once by Spark's committer when tasks are repeated.
 
 Format of a shard, little endian: ``TSRP``, then u32 version, base (first
-nonterminal), rules, documents, symbols, symbol bytes (2 or 4), then u64 tokens;
-rules as (u32, u32) pairs; u32 expanded length of each rule; i64 document ids;
-u8 1 where the id is null; u32 symbol offsets (documents + 1); u64 token offsets
-(documents + 1); symbols.
+nonterminal), rules, documents, symbols, bits of a symbol (16 or more), then u64
+tokens; rules as (u32, u32) pairs; u32 expanded length of each rule; i64 document
+ids; u8 1 where the id is null; u32 symbol offsets (documents + 1); u64 token
+offsets (documents + 1); the low 16 bits of the symbols; for each higher bit of
+the symbols a plane of one bit a symbol.
 
 Defined results: a null or empty text is the end id alone; documents with equal
-or null ids keep one place each (nulls first); an empty table gives no shard.
+or null ids keep one place each (nulls first); an empty table gives no shard;
+columns besides id and text are not read, so their names cannot clash; a text of
+any length is one document of one shard.
 """
 
 from __future__ import annotations
@@ -26,79 +30,147 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import small_batches
 from tessera.llm.tokens import tokenize
 
-MAGIC, VERSION = b"TSRP", 1
+MAGIC, VERSION = b"TSRP", 2
 HEAD = struct.Struct("<4s6IQ")
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-#: Documents in one bucket of consecutive ids, and the most buckets.
-BUCKET_DOCS, MAX_BUCKETS = 4096, 8192
-#: Rounds of pair replacement, the occurrences that make a pair frequent, and
-#: the share of symbols that a round must save for another to follow.
-ROUNDS, FREQUENT, PAIRS_A_ROUND, LEAST_GAIN = 12, 24, 4096, 0.005
-
-
-def repair(ids: np.ndarray, base: int, barrier: int, rounds: int = ROUNDS, frequent: int = FREQUENT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): a round counts adjacent pairs, takes the frequent ones
-    and replaces their occurrences, an occurrence giving way to an overlapping
-    one of a more frequent pair. ``barrier`` takes part in no pair."""
-    s, rules, room = ids.astype(np.uint32), np.zeros((0, 2), np.int64), (1 << 16) - base
-    for turn in range(rounds):
-        if len(s) < 2 or len(rules) >= room:
-            break
-        a, b = s[:-1], s[1:]
-        # a place of the table stands for the pair that was written to it last;
-        # others there wait for the next round, which hashes differently
-        h = ((a * np.uint32(0x9E3779B1 - 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(12)).astype(np.int64)
-        able = np.flatnonzero((np.bincount(h, minlength=1 << 20) >= frequent)[h] & (a != barrier) & (b != barrier))
-        h, pair = h[able], a[able].astype(np.int64) << 32 | b[able]
-        owner = np.full(1 << 20, -1, np.int64)
-        owner[h] = pair
-        same = owner[h] == pair
-        at, h = able[same], h[same]
-        n = np.bincount(h, minlength=1 << 20)
-        best = np.flatnonzero(n >= frequent)
-        best = best[np.argsort(-n[best], kind="stable")[: min(PAIRS_A_ROUND, room - len(rules))]]
-        if not len(best):
-            break
-        number = np.full(1 << 20, -1, np.int64)
-        number[best] = np.arange(len(best))
-        code = number[h]
-        at, code = at[code >= 0], code[code >= 0]
-        weight = np.zeros(len(s) + 2, np.int32)
-        weight[at + 1] = n[best[code]]
-        won = (weight[at + 1] > weight[at]) & (weight[at + 1] >= weight[at + 2])
-        at, code = at[won], code[won]
-        keep = np.bincount(code, minlength=len(best)) * 2 >= frequent
-        if not keep.any():
+#: Documents in one bucket of consecutive ids, and the most buckets: their
+#: boundaries are on the driver. Beyond it buckets grow; they are sorted outside
+#: memory and written shard by shard, so a task takes longer but no more memory.
+BUCKET_DOCS, MAX_BUCKETS = 4096, 1 << 16
+#: Occurrences in a shard that make a pair frequent.
+FREQUENT = 12
+
+
+def _dense(s: np.ndarray, barrier: int, frequent: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over a whole array: (places, rule of each, rules)."""
+    a, b = s[:-1], s[1:]
+    # a place of the table stands for the pair that was written to it last;
+    # others there wait for a round that hashes differently
+    h = ((a * np.uint32(0x9E3779B1 - 2 * turn) + b * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(12)).astype(np.int64)
+    able = np.flatnonzero((np.bincount(h, minlength=1 << 20) >= frequent)[h] & (a != barrier) & (b != barrier))
+    h, pair = h[able], a[able].astype(np.int64) << 32 | b[able]
+    owner = np.full(1 << 20, -1, np.int64)
+    owner[h] = pair
+    same = owner[h] == pair
+    at, h = able[same], h[same]
+    count = np.bincount(h, minlength=1 << 20)
+    # by count, then by place in the table; in runs of one pair every other one
+    rank = (np.minimum(count, 0x3FFFF) << 11 | (np.arange(1 << 20) + turn) * 0x9E3779B1 >> 17 & 0x7FF).astype(np.int32)
+    rank[count < frequent] = 0
+    weight = np.zeros(len(s) + 2, np.int32)
+    own = rank[h]
+    weight[at + 1] = own * 2 + (at & (own > 0))
+    own = weight[at + 1]
+    won = np.flatnonzero((own > weight[at]) & (own >= weight[at + 2]))
+    at, h = at[won], h[won]
+    left = np.bincount(h, minlength=1 << 20)
+    keep = left[h] * 2 >= frequent  # too few left by overlaps: later
+    at, h = at[keep], h[keep]
+    used = np.flatnonzero(np.bincount(h, minlength=1 << 20))
+    number = np.zeros(1 << 20, np.int64)
+    number[used] = np.arange(len(used))
+    return at, number[h], np.stack([owner[used] >> 32, owner[used] & 0xFFFFFFFF], 1)
+
+
+def _weight(count: np.ndarray, pair: np.ndarray, at: np.ndarray, turn: int) -> np.ndarray:
+    """Which of two overlapping occurrences goes first: by count, then by a hash
+    that differs from pair to pair and, in runs of one pair, from place to place."""
+    return count << 21 | (pair + turn) * 0x1E3779B97F4A7C15 >> 43 & 0x1FFFF8 | (at + turn) * 0x9E3779B1 >> 20 & 7
+
+
+def repair(ids: np.ndarray, base: int, barrier: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): frequent pairs of adjacent symbols are replaced by new
+    symbols, round after round, until no pair occurs ``frequent`` times.
+    ``barrier`` takes part in no pair.
+
+    A round counts pairs and replaces the occurrences of all frequent ones, an
+    occurrence giving way to an overlapping one of a more frequent pair. While
+    rounds replace much they go over the whole array; then symbols become a
+    linked list, and a round takes only the places that are still open: a pair
+    that is not frequent can only get rarer, so its places stay closed until a
+    neighbour is replaced.
+    """
+    rules, total, turn = [np.zeros((0, 2), np.int64)], 0, 0
+    dense = ids.astype(np.uint32)
+    while len(dense) > 1 << 14:
+        at, code, new = _dense(dense, barrier, frequent, turn)
+        dense[at] = base + total + code
+        rules.append(new)
+        total, turn = total + len(new), turn + 1
+        before, dense = len(dense), np.delete(dense, at + 1)
+        if len(at) < before // 50:
             break
-        ok = keep[code]
-        at, code = at[ok], (np.cumsum(keep) - 1)[code[ok]]
-        new = owner[best[keep]]
-        s[at] = base + len(rules) + code
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        done, s = len(at) < least_gain * len(s), s[left]
-        rules = np.concatenate([rules, np.stack([new >> 32, new & 0xFFFFFFFF], 1)])
-        if done:
+    n = len(dense)
+    s = np.append(dense.astype(np.int64), barrier)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n] = before[0] = n
+    alive, mark, weight = np.ones(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, np.int64)
+    at = np.flatnonzero((s[:-1] != barrier) & (s[1:] != barrier))
+    while len(at) >= frequent:
+        turn += 1
+        pair = s[at] << 32 | s[after[at]]
+        if len(at) > 1 << 16:  # most pairs are rare: a count by hash, never too low, tells
+            h = (pair * (0x1E3779B97F4A7C15 + 2 * turn)).view(np.uint64) >> np.uint64(44)
+            some = np.bincount(h.astype(np.int64), minlength=1 << 20)[h] >= frequent
+            at, pair = at[some], pair[some]
+        owner, code, count = np.unique(pair, return_inverse=True, return_counts=True)
+        ok = count[code] >= frequent
+        if not ok.any():
             break
-    return s, rules
+        at, code = at[ok], code[ok]
+        weight[at] = _weight(count[code], owner[code], at, turn)
+        won = (weight[at] > weight[before[at]]) & (weight[at] >= weight[after[at]])
+        weight[at] = 0
+        here, code = at[won], code[won]
+        left = np.bincount(code, minlength=len(owner))
+        keep = left[code] >= min(left.max(), -(-frequent // 2))  # too few left by overlaps: later
+        here, code = here[keep], code[keep]
+        used, code = np.unique(code, return_inverse=True)
+        gone = after[here]
+        s[here] = base + total + code
+        alive[gone] = False
+        follow = after[gone]
+        after[here] = follow
+        before[follow] = here
+        rules.append(np.stack([owner[used] >> 32, owner[used] & 0xFFFFFFFF], 1))
+        total += len(used)
+        # open: what was, and the pairs around every new symbol
+        mark[at] = True
+        mark[gone] = False
+        mark[here] = mark[before[here]] = True
+        mark[n] = False
+        at = np.flatnonzero(mark)
+        mark[at] = False
+        at = at[(s[at] != barrier) & (s[after[at]] != barrier)]
+    return s[:-1][alive[:-1]], np.concatenate(rules)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids): the ids that each rule stands for, one after another."""
-    flat: list[np.ndarray] = []
+    flat: list[list[int]] = []
     for x, y in rules.tolist():
-        flat.append(np.concatenate([flat[v - base] if v >= base else np.array([v]) for v in (x, y)]))
-    return np.cumsum([0, *map(len, flat)]), np.concatenate([np.zeros(0, np.int64), *flat])
+        flat.append((flat[x - base] if x >= base else [x]) + (flat[y - base] if y >= base else [y]))
+    at = np.cumsum([0, *map(len, flat)])
+    return at, np.fromiter(chain.from_iterable(flat), np.int64, int(at[-1]))
+
+
+def _planes(symbols: np.ndarray, bits: int) -> bytes:
+    """Symbols of ``bits`` bits: their low halves, then a plane for each bit above."""
+    planes = [np.packbits((symbols >> b & 1).astype(np.uint8)) for b in range(16, bits)]
+    return b"".join([symbols.astype("<u2").tobytes(), *(x.tobytes() for x in planes)])
 
 
 def encode_shard(doc_ids: list[int | None], ids: list[bytes], base: int, barrier: int) -> bytes:
@@ -109,17 +181,17 @@ def encode_shard(doc_ids: list[int | None], ids: list[bytes], base: int, barrier
     each[symbols >= base] = lengths[symbols[symbols >= base] - base]
     token_at = np.cumsum([0, *(len(x) // 4 for x in ids)])
     symbol_at = np.searchsorted(np.concatenate([[0], np.cumsum(each)]), token_at)
-    wide = 2 if base + len(rules) <= 1 << 16 else 4
+    bits = max(16, (base + len(rules) - 1).bit_length())
     return b"".join(
         [
-            HEAD.pack(MAGIC, VERSION, base, len(rules), len(ids), len(symbols), wide, len(tokens)),
+            HEAD.pack(MAGIC, VERSION, base, len(rules), len(ids), len(symbols), bits, len(tokens)),
             rules.astype("<u4").tobytes(),
             lengths.astype("<u4").tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             bytes(x is None for x in doc_ids),
             symbol_at.astype("<u4").tobytes(),
             token_at.astype("<u8").tobytes(),
-            symbols.astype(f"<u{wide}").tobytes(),
+            _planes(symbols, bits),
         ]
     )
 
@@ -138,7 +210,7 @@ class Shard:
 
     @classmethod
     def parse(cls, blob: bytes) -> Shard:
-        magic, version, base, n_rules, n_docs, n_symbols, wide, _ = HEAD.unpack_from(blob)
+        magic, version, base, n_rules, n_docs, n_symbols, bits, _ = HEAD.unpack_from(blob)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token shard")
         at = HEAD.size
@@ -152,7 +224,11 @@ class Shard:
         rules = part("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
         lengths, doc_ids, null = part("<u4", n_rules), part("<i8", n_docs), part("u1", n_docs)
         symbol_at, token_at = part("<u4", n_docs + 1), part("<u8", n_docs + 1)
-        shard = cls(base, rules, lengths, [None if z else int(x) for x, z in zip(doc_ids, null, strict=True)], symbol_at, token_at.astype(np.int64), part(f"<u{wide}", n_symbols).astype(np.int64))
+        symbols = part("<u2", n_symbols).astype(np.int64)
+        for b in range(16, bits):
+            symbols |= np.unpackbits(part("u1", -(-n_symbols // 8)), count=n_symbols).astype(np.int64) << b
+        names = [None if z else int(x) for x, z in zip(doc_ids, null, strict=True)]
+        shard = cls(base, rules, lengths, names, symbol_at, token_at.astype(np.int64), symbols)
         shard._at, shard._flat = expansions(rules, base)
         return shard
 
@@ -184,6 +260,11 @@ class Shard:
         return self._expand(own[a:b])[skip : skip + max(0, stop - start)]
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
 def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> None:
     """Tokenize whole texts and write shards in ascending id order to ``path``.
 
@@ -199,16 +280,22 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     narrow = "<u2" if base <= 1 << 16 else "<u4"
     n = df.count()
     buckets = int(min(MAX_BUCKETS, max(1, -(-n // BUCKET_DOCS))))
-    key = F.col(f"`{id_col}`").cast("long")
     # as doubles, ids over 2**53 may round: a boundary moves a little, in every row alike
-    cuts = sorted({int(x) for x in df.select(key.cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 1 / (8 * buckets))}) if buckets > 1 else []
+    key = F.coalesce(F.col(f"`{id_col}`").cast("double"), F.lit(-float(1 << 63)))
+    probes = [i / buckets for i in range(1, buckets)]
+    cuts = np.array([int(x) for x in df.select(key.alias("k")).approxQuantile("k", probes, 1 / (8 * buckets))] if probes else [], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            k = b.column("doc_id").to_numpy(zero_copy_only=False) if not b.column("doc_id").null_count else np.array([-(2**63) if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
-            bucket = np.searchsorted(np.array(cuts, np.int64), k, "left").astype(np.int32)
+            k = pc.fill_null(b.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+            row += len(k)
+            part = _mix(np.arange(row - len(k), row))
+            lo, hi = np.searchsorted(cuts, k, "left"), np.searchsorted(cuts, k, "right")
+            # several boundaries at one id: its rows are dealt among the buckets between
+            bucket = lo + (part % np.maximum(hi - lo, 1).astype(np.uint64)).astype(np.int64)
             ids = [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column("doc_id"), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), b.column("doc_id"), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "shard", "bucket_start", "n_docs", "n_tokens", "payload"]

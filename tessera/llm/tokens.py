@@ -4,7 +4,9 @@ A byte-pair tokenizer splits a text into pieces before it merges anything, so a
 text may be cut at places where a piece always begins, and every distinct chunk
 needs to be encoded once only. ``ChunkEncoder`` cuts at such places, keeps a
 bounded cache of chunk -> ids, and joins the ids of a text from it. The ids are
-those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+those of ``Tokenizer.encode(text, add_special_tokens=False)``, as the library
+gives them by default: the string of an added token, such as an end mark that
+stands in a text, becomes that token's id. A text with one is encoded whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ _BEFORE_WORD = re.compile(rf" (?=[^{_SPACES}])")
 #: One piece of either way of cutting: a Latin word.
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A Latin word and the punctuation after it: a piece begins at the punctuation.
-_WORD_POINT = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,:;!?*#$%&|)\"]+)")
+#: Latin-1 only: beyond it a letter may become two when lowered.
+_WORD_POINT = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?*#$%&|)\"]+)")
 _ASCII_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
@@ -44,9 +47,7 @@ def load(path: str):
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def bytes_to_letters() -> dict[int, int]:
@@ -78,6 +79,8 @@ class ChunkEncoder:
         else:
             self.spell = None
         self.model = self.tok.model
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
         self.limit, self.new, self.old = cache, {}, {}
 
     @staticmethod
@@ -135,6 +138,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
+            if self.added(text):
+                yield np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             chunks = self.cut(text)
             ids = self.new
             try:

@@ -19,7 +19,8 @@ TOKENIZERS = ("byte_bpe_50k.json", "word_bpe_49k.json")
 def test_chunks_encode_as_whole_texts(name):
     rng = random.Random(1)
     letters = " \n\t'ab1.é \x1c\x85　​́SΣ\x00,<|"
-    texts = ["", " ", "a\n\nb", "it's they'll", "<|endoftext|> a", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
+    wide = [chr(c) + p for c in range(0xC0, 0x250) for p in ("!", "a.", " :", "\"")] + ["İ" + p for p in ".,:;!?*#$%&|)\""]
+    texts = ["", " ", "a\n\nb", "it's they'll", "<|endoftext|> a", "hello <|endoftext|> world", "A<|startoftext|>", *wide, *("".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
     whole, encoder = load(name), ChunkEncoder(name, cache=500)
     for got, text in zip(encoder.encode(texts), texts, strict=True):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
@@ -39,6 +40,37 @@ def test_repair_round_trip_and_random_access():
         grammar_shards.Shard.parse(b"x" * 100)
 
 
+@pytest.mark.parametrize("base", [50, 50_000, 65_536, 200_000])
+def test_repair_goes_on_until_no_pair_is_frequent(base):
+    rng = np.random.default_rng(1)
+    phrases = [rng.integers(2, base, 30) for _ in range(20)]
+    parts = [np.append(np.concatenate([phrases[rng.integers(20)], rng.integers(2, base, 5)]), 1) for _ in range(1500)]
+    tokens = np.concatenate([*parts, np.full(40_000, 7), [1]])
+    symbols, rules = grammar_shards.repair(tokens, base, 1)
+    at, flat = grammar_shards.expansions(rules, base)
+    back = np.concatenate([flat[at[x - base] : at[x - base + 1]] if x >= base else [x] for x in symbols.tolist()])
+    assert (back == tokens).all() and len(symbols) < len(tokens) / 3
+    pairs = symbols[:-1] << 32 | symbols[1:]
+    pairs, n = np.unique(pairs[(symbols[:-1] != 1) & (symbols[1:] != 1)], return_counts=True)
+    # a run of one pair counts it twice as often as it can be replaced
+    assert n[(pairs >> 32) != (pairs & 0xFFFFFFFF)].max() < grammar_shards.FREQUENT
+    blob = grammar_shards.encode_shard([0], [tokens.astype("<u4").tobytes()], base, 1)
+    assert grammar_shards.Shard.parse(blob).document(0).tolist() == tokens.tolist()
+
+
+def test_rows_of_one_id_are_dealt_among_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grammar_shards, "BUCKET_DOCS", 50)
+    df = spark.range(900).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then null else id end as doc_id", "'same text' as text").repartition(4)
+    grammar_shards.write_shards(df, str(tmp_path / "hot"), "word_bpe_49k.json", 1)
+    sizes = [r["n"] for r in spark.read.parquet(str(tmp_path / "hot")).groupBy("bucket").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == 900 and max(sizes) < 150
+    out = grammar_shards.read_documents(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    ids = [r["doc_id"] for r in out]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x)) and [r["start"] for r in out] == [3 * i for i in range(900)]
+    grammar_shards.write_shards(df.where("false"), str(tmp_path / "none"), "word_bpe_49k.json", 1)
+    assert grammar_shards.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(2)
