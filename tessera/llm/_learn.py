@@ -7,34 +7,50 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import remainder
 
-#: Longest text that is learned from. Scoring takes texts of any length.
+#: Characters of one text that are learned from: of a longer text, a window that
+#: begins at a place chosen by a hash. Scoring takes whole texts of any length.
 LEARN_CHARS = 20_000
+#: Characters of all texts that are learned from, shared by the label values.
+LEARN_TOTAL = 24_000_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column, id_col: str = "doc_id", text_col: str = "text", chars: int = LEARN_CHARS) -> list[tuple[str, object]]:
-    """At most ``per_class`` (text, label) of each label value, chosen by a hash
-    of the id among the rows that ``allowed`` lets through and whose text has at
-    most ``chars`` characters. ``labels`` and ``docs`` share the id; what comes
-    to the driver is bounded by ``per_class`` and ``chars``.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(labels (k, y), texts (k, t)) by id. Labels that repeat count once; an id
+    with two different labels has none."""
+    y = F.col(f"`{label}`")
+    one = labels.where(y.isNotNull()).groupBy(F.col(f"`{id_col}`").alias("k")).agg(F.min(y).alias("y"), F.max(y).alias("z"))
+    return one.where("y = z").select("k", "y"), docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
+
+
+def sample(keyed: DataFrame, texts: DataFrame | None, per_class: int, allowed: Column, chars: int = LEARN_CHARS, total: int = LEARN_TOTAL) -> list[tuple[str, object]]:
+    """At most ``per_class`` (text, label) of every label value, those of the
+    least hashes of the ids among the rows that ``allowed`` lets through.
+
+    ``keyed`` has (k, y), and the text t too where ``texts`` is None. Labels are
+    counted once; then one pass over the texts takes the rows whose hash lies
+    under the share of their label that is wanted. What comes to the driver is
+    bounded by ``per_class``, ``chars`` and ``total``.
     """
-    keyed = labels.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{label}`").alias("y")).where(allowed & F.col("y").isNotNull())
-    values = sorted(r[0] for r in keyed.select("y").distinct().limit(1000).collect())
-    picked = []
-    for v in values:
-        # more than needed: some of the texts may be too long or missing
-        picked.append(keyed.where(F.col("y") == F.lit(v)).orderBy(F.xxhash64("k"), "k").limit(2 * per_class))
-    if not picked:
+    keyed = keyed.where(allowed & F.col("y").isNotNull())
+    wanted = {r["y"]: 1.5 * per_class / r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not wanted:
         return []
-    every = picked[0]
-    for p in picked[1:]:
-        every = every.unionAll(p)
-    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= chars))
-    # at most 2 * per_class rows a value of the label
-    joined = rows.join(F.broadcast(every.dropDuplicates(["k"])), "k").orderBy(F.xxhash64("k"), "k", "t")
-    out, seen = [], dict.fromkeys(values, 0)
-    for r in joined.select("t", "y").toLocalIterator():
-        if seen[r["y"]] < per_class:
-            seen[r["y"]] += 1
+    spark = keyed.sparkSession
+    kind = keyed.schema["y"].dataType.simpleString()
+    shares = spark.createDataFrame(list(wanted.items()), f"y {kind}, share double")
+    hashed = (F.xxhash64(F.col("k")) / F.lit(float(1 << 63)) + 1) / 2
+    few = keyed.join(F.broadcast(shares), "y").where(hashed < F.col("share")).drop("share")
+    # 1.5 * per_class rows of a label value or so
+    rows = few if texts is None else texts.join(F.broadcast(few), "k")
+    size = F.length("t")
+    begin = F.when(size > chars, 1 + F.pmod(F.xxhash64("k", "y"), size - chars + 1)).otherwise(F.lit(1)).cast("int")
+    rows = rows.where(F.col("t").isNotNull()).select("y", F.substring("t", begin, F.lit(chars)).alias("t"), F.xxhash64("k").alias("h"), "k")
+    out, seen = [], {y: [0, 0] for y in wanted}
+    for r in rows.orderBy("h", "k", "t").select("t", "y").toLocalIterator():
+        n = seen[r["y"]]
+        if n[0] < per_class and n[1] + len(r["t"]) <= total // len(wanted):
+            n[0] += 1
+            n[1] += len(r["t"])
             out.append((r["t"], r["y"]))
     return out
 

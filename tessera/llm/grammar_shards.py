@@ -111,7 +111,7 @@ def repair(ids: np.ndarray, base: int, barrier: int, frequent: int = FREQUENT) -
         rules.append(new)
         total, turn = total + len(new), turn + 1
         before, dense = len(dense), np.delete(dense, at + 1)
-        if len(at) < before // 50:
+        if len(at) < before // 12:
             break
     n = len(dense)
     s = np.append(dense.astype(np.int64), barrier)

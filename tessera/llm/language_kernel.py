@@ -8,14 +8,16 @@ language is fitted on it. Scoring a batch is two matrix products: block
 presence by landmarks, and kernel values by coefficients. The scores of a text
 are the means over all its blocks.
 
-Defined results: a null text, and a text without letters, is ``und`` with score
-0; ties go to the language first in order; if nothing can be learned (no rows
-with a language) every text is ``und``.
+Defined results: a null text, and a text without letters (Unicode category L),
+is ``und`` with score 0; ties go to the language first in order; if nothing can
+be learned (no rows with a language) every text is ``und``; repeated rows are
+labelled one by one, and rows that repeat with two languages are learned with
+both; columns besides id, text and language are not read; a long text is taken
+in pieces of bounded size, all of which count.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +33,20 @@ BLOCK, LANDMARKS, PER_LANGUAGE, RIDGE = 1500, 48, 300, 1e-2
 #: Places for n-grams of each n, and the weight of each n in the kernel.
 SPECTRUM = ((1, 512, 0.5), (2, 2048, 1.0), (3, 4096, 1.0))
 WIDTH = sum(w for _, w, _ in SPECTRUM)
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a long text that are taken at once.
+PIECE = 1 << 18
+_IS_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _codes(text: str) -> np.ndarray:
     """Lower-case code points with runs of non-letters as one zero."""
     low = text.lower()
     c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    letter = (c >= 97) & (c <= 122) | (c >= 170) & (c != 215) & (c != 247)
+    letter = _IS_LETTER[c]
     c = np.where(letter, c, 0)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
@@ -76,11 +84,15 @@ class Model:
     coefficients: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x, owner = presence(texts)
-        s = (x @ self.landmarks.T) @ self.coefficients
-        total = np.zeros((len(texts), len(self.languages)))
-        np.add.at(total, owner, s)
-        return total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[:, None]
+        total, blocks = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        pieces = [(i, t[at : at + PIECE]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), PIECE)]
+        load = np.cumsum([len(t) for _, t in pieces]) // (2 * PIECE)
+        for first, last in zip(*(np.flatnonzero(np.diff(load, **{end: -1})) for end in ("prepend", "append")), strict=True):
+            x, owner = presence([t for _, t in pieces[first : last + 1]])
+            owner = np.array([i for i, _ in pieces[first : last + 1]])[owner]
+            np.add.at(total, owner, (x @ self.landmarks.T) @ self.coefficients)
+            blocks += np.bincount(owner, minlength=len(texts))
+        return total / np.maximum(blocks, 1)[:, None]
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -105,7 +117,8 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on at most ``per_language`` texts of each language, among rows whose
     crc32(id) mod 5 is not 0."""
-    rows = [(t, y) for t, y in _learn.sample(df, df, lang_col, per_language, _learn.learnable("k", 5, 0), id_col, text_col) if _LETTER.search(t)]
+    keyed = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{lang_col}`").alias("y"), F.col(f"`{text_col}`").alias("t"))
+    rows = [(t, y) for t, y in _learn.sample(keyed, None, per_language, _learn.learnable("k", 5, 0)) if has_letter(t)]
     return fit(rows) if rows else None
 
 
@@ -117,7 +130,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for b in batches:
             texts = b.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            ok = [i for i, t in enumerate(texts) if t and model and _LETTER.search(t)]
+            ok = [i for i, t in enumerate(texts) if t and model and has_letter(t)]
             at = 0
             while at < len(ok):  # some 4 MB of text at once
                 stop, size = at, 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _learn
 from tessera.llm._common import remainder, small_batches
 
-PER_LABEL, BUCKETS, RANK, EPOCHS = 2500, 4096, 8, 30
+PER_LABEL, BUCKETS, RANK, EPOCHS = 1500, 4096, 8, 30
 CACHE = 400_000
 #: Kinds of bytes: lower, upper, digit, space, line end, closing marks, symbols, other ASCII, beyond ASCII.
 _KIND = np.full(256, 8, np.int8)
@@ -127,7 +127,7 @@ def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, ra
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model | None:
     """Fit on at most ``per_label`` texts of either label, among rows whose
     crc32(id) mod 3 is not 1."""
-    rows = [(t, int(y)) for t, y in _learn.sample(docs, labels, label_col, per_label, _learn.learnable("k", 3, 1), id_col, text_col) if y in (0, 1)]
+    rows = [(t, int(y)) for t, y in _learn.sample(*_learn.labelled(docs, labels, label_col, id_col, text_col), per_label, _learn.learnable("k", 3, 1)) if y in (0, 1)]
     if len({y for _, y in rows}) < 2:
         return None
     own = Features()

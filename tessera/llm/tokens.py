@@ -79,8 +79,7 @@ class ChunkEncoder:
         else:
             self.spell = None
         self.model = self.tok.model
-        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.limit, self.new, self.old = cache, {}, {}
 
     @staticmethod
@@ -138,7 +137,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if self.added(text):
+            if any(a in text for a in self.added):
                 yield np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             chunks = self.cut(text)

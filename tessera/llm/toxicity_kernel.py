@@ -1,23 +1,31 @@
 """Toxicity by a gap-weighted subsequence string kernel.
 
-Units are words: space-separated tokens without outer punctuation, runs of
-single letters joined, long tokens in overlapping parts. Two words are as alike
-as the subsequences of three and four characters that they share, each weighted
-by a decay for every character that it skips; so letters inserted into an
-insult, or other endings, cost little. Landmark words give a Nyström map, and a
-linear support vector machine (squared hinge) is trained on it. Kernel, map and
-machine together are one weight per hashed subsequence, so scoring a word is a
-sum of table values; a bounded cache holds words already scored.
-
-Labels are per document. Words that occur in toxic documents only, and in
-several, are the positive instances, words of other documents the negative
-ones; a second round adds words that the first machine already finds alike.
-Both kinds are also learned with characters inserted, which teaches the machine
-that gaps alone mean nothing. A
-logistic regression on the largest margin of a text turns it into a score.
+Instances are short pieces of sentences: windows of ``WINDOW`` tokens that
+follow each other. A window is a bag of words (space-separated tokens without
+outer punctuation, runs of single letters joined, long tokens in overlapping
+parts). The kernel of two windows is the sum over their words of the word
+kernel: two words are as alike as the subsequences of three to five characters
+that they share, each weighted by a decay for every character that it skips; so
+letters inserted into an insult, or other endings, cost little.
+
+Landmark words give a Nyström map, and a linear support vector machine (squared
+hinge) is trained on the windows of labelled documents. A label says of a
+document, not which of its sentences is meant: at first the windows of toxic
+documents with a word that is found in them only, beyond chance, are positive
+(all of their windows, if there is no such word), then, turn by turn, those that
+the machine itself finds beyond its margin.
+Windows of both kinds are also learned with characters inserted into all words,
+which teaches the machine that gaps alone mean nothing. Kernel, map and machine
+together are one weight per hashed subsequence, so scoring a word is a sum of
+table values; a bounded cache holds words already scored. A logistic regression
+on the largest margin of a text's windows turns it into a score.
 
 Defined results: a null or empty text, or one without words, scores as a text
-of neutral words; without labels of both kinds every score is 0.
+of neutral words; without labels of both kinds every score is 0; labels that
+repeat count once, and an id with two different labels has none; rows are scored
+one by one, so repeated rows score alike; columns besides id and text are not
+read; a text of any length, with spaces or without, is scored in parts of
+bounded size.
 """
 
 from __future__ import annotations
@@ -35,8 +43,12 @@ from pyspark.sql import functions as F
 from tessera.llm import _learn
 from tessera.llm._common import remainder, small_batches
 
-PER_LABEL, LANDMARKS, TABLE, DECAY, LONGEST = 3000, 500, 1 << 18, 0.5, 32
+PER_LABEL, LANDMARKS, TABLE, DECAY, LONGEST = 1500, 300, 1 << 18, 0.5, 32
 CACHE = 200_000
+#: Tokens of a window; windows of either label that are learned from; words
+#: scored at once.
+WINDOW, LEARNED, BATCH = 3, 10_000, 8192
+TURNS, PENALTY = 4, 5.0
 #: Chance, at most, that a word is in toxic documents only by luck.
 ODDS = 1e-7
 #: Offsets of the characters of a subsequence; at most two are skipped.
@@ -134,6 +146,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return b
 
 
+def windows(text: str) -> list[list[str]]:
+    """The words of each window of a text; one token at least."""
+    own = [[u for u in units(t) if u] for t in text.split()]
+    out = [[u for t in own[i : i + WINDOW] for u in t] for i in range(max(1, len(own) - WINDOW + 1) if own else 0)]
+    return [x for x in [*out, *([u] for u in joined(text))] if x]
+
+
 @dataclass
 class Model:
     table: np.ndarray
@@ -142,87 +161,138 @@ class Model:
     new: dict[str, float] = field(default_factory=dict)
     old: dict[str, float] = field(default_factory=dict)
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        o, p, w = subsequences(words)
-        return np.bincount(o, self.table[p] * w, minlength=len(words)) + self.bias if words else np.zeros(0)
+    def values(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the margin of its window."""
+        out = np.zeros(len(words))
+        for at in range(0, len(words), BATCH):
+            part = words[at : at + BATCH]
+            o, p, w = subsequences(part)
+            out[at : at + BATCH] = np.bincount(o, self.table[p] * w, minlength=len(part))
+        return out
 
     def _learn_tokens(self, tokens: list[str]) -> None:
         if len(self.new) + len(tokens) > CACHE:
             self.old, self.new = self.new, {}
-        for at in range(0, len(tokens), 4096):
-            part = tokens[at : at + 4096]
-            own = [(t, u) for t in part for u in units(t)]
-            best = dict.fromkeys(part, -9.0)
-            for (t, _), m in zip(own, self.margins([u for _, u in own]).tolist(), strict=True):
-                best[t] = max(best[t], m)
-            self.new |= best
-
-    def features(self, text: str) -> np.ndarray:
+        own, of = [], []
+        for t in tokens:
+            mine = [u for u in units(t) if u]
+            own += mine
+            of += [t] * len(mine)
+        best = dict.fromkeys(tokens, 0.0)
+        seen = set()
+        for t, v in zip(of, self.values(own).tolist(), strict=True):
+            best[t] = max(best[t], v) if t in seen else v
+            seen.add(t)
+        self.new |= best
+
+    def margin(self, text: str) -> float:
+        """The largest margin of the windows of a text."""
         tokens = text.split()
-        if " " in text and (more := joined(text)):
-            tokens += more
+        if not tokens:
+            return -2.0
         try:
-            m = np.fromiter(map(self.new.__getitem__, tokens), np.float64, len(tokens))
+            v = np.fromiter(map(self.new.__getitem__, tokens), np.float64, len(tokens))
         except KeyError:
             todo = []
             for t in set(tokens):
                 if t not in self.new:
-                    if (v := self.old.get(t)) is not None:
-                        self.new[t] = v
+                    if (x := self.old.get(t)) is not None:
+                        self.new[t] = x
                     else:
                         todo.append(t)
             if len(self.new) + len(todo) > CACHE:
                 todo = list(set(tokens))
             self._learn_tokens(todo)
-            m = np.fromiter(map(self.new.__getitem__, tokens), np.float64, len(tokens))
-        return np.array([np.clip(m.max(), -2, 2) if len(m) else -2.0])
+            v = np.fromiter(map(self.new.__getitem__, tokens), np.float64, len(tokens))
+        sums = np.cumsum(np.concatenate([[0.0], v]))
+        best = (sums[WINDOW:] - sums[:-WINDOW]).max() if len(v) > WINDOW else v.sum()
+        if " " in text and (more := joined(text)):
+            best = max(best, self.values(more).max())
+        return float(np.clip(best + self.bias, -20, 20))
 
     def score(self, text: str | None) -> float:
-        z = float(np.append(self.features(text or ""), 1.0) @ self.final)
+        z = float(np.array([self.margin(text or ""), 1.0]) @ self.final)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None:
+def _landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, number: int, rng: np.random.Generator) -> list[str]:
+    """Words that stand for the others: a third whose share of documents differs
+    most between the labels, a third the most common, a third any. They are
+    places of the map; what they mean is left to the machine."""
+    words = sorted(set(pos) | set(neg))
+    p, q = np.array([pos[w] for w in words]) / max(n_pos, 1), np.array([neg[w] for w in words]) / max(n_neg, 1)
+    contrast = (p - q) / np.sqrt((p + q) / max(n_pos, 1) + 1.0 / max(n_pos, 1) ** 2)
+    third = number // 3
+    first = np.argsort(-contrast, kind="stable")[:third]
+    common = np.argsort(-(p + q), kind="stable")[:third]
+    every = np.concatenate([first, common, rng.permutation(len(words))[: number - 2 * third]])
+    return [words[i] for i in dict.fromkeys(every.tolist())]
+
+
+def _bags(found: list[list[str]], number: dict[str, int], x: np.ndarray) -> np.ndarray:
+    """Feature rows of windows: sums of their words' rows."""
+    flat = np.array([number[w] for s in found for w in s])
+    size = np.array([len(s) for s in found])
+    first = np.cumsum(size) - size
+    out = np.zeros((len(found), x.shape[1]), np.float32)
+    for at in range(0, len(found), 2048):
+        s = slice(at, at + 2048)
+        here = flat[first[at] : first[at] + size[s].sum()]
+        out[s] = np.add.reduceat(x[here], first[s] - first[at])
+    return out
+
+
+def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, learned: int = LEARNED, c: float = PENALTY) -> Model | None:
     """Train on (text, 0 or 1)."""
     if len({y for _, y in rows}) < 2:
         return None
-    own = [({u for t in text.split() for u in units(t) if len(u) > 1} | set(joined(text.lower())), y) for text, y in rows]
-    n_pos = sum(y for _, y in own)
-    pos, neg = Counter(), Counter()
-    for words, y in own:
-        (pos if y else neg).update(words)
-    # so many toxic documents and no other that chance is ruled out
-    least = max(3, int(np.ceil(np.log(ODDS) / np.log(n_pos / len(own)))))
-    plus = [w for w, n in pos.most_common(2000) if n >= least and n >= 50 * neg[w]]
-    minus = [w for w, _ in neg.most_common(4000) if w not in set(plus)]
-    rare = sorted(w for w in neg if neg[w] == 1)
     rng = np.random.default_rng(5)
-    minus = list(dict.fromkeys(minus + [rare[i] for i in rng.permutation(len(rare))[:5000]]))
-    if not plus:
+    found, y = [], []
+    pos, neg = Counter(), Counter()
+    for text, label in rows:
+        mine = windows(text)
+        found += mine
+        y += [label] * len(mine)
+        (pos if label else neg).update({w for s in mine for w in s if len(w) > 1})
+    n_pos = sum(label for _, label in rows)
+    # so many toxic documents and hardly another that chance is ruled out
+    least = max(3, int(np.ceil(np.log(ODDS) / np.log(n_pos / len(rows)))))
+    telling = {w for w, n in pos.items() if n >= least and n >= 50 * neg[w]}
+    y = np.array(y)
+    hot = np.array([any(w in telling for w in s) for s in found], bool) & (y == 1)
+    # of either label as many as are wanted, those with such words first
+    chosen = np.sort(np.concatenate([np.concatenate([rng.permutation(np.flatnonzero(hot & (y == k))), rng.permutation(np.flatnonzero(~hot & (y == k)))])[:learned] for k in (0, 1)]))
+    y, hot, found = y[chosen], hot[chosen], [found[i] for i in chosen.tolist()]
+    if len(set(y.tolist())) < 2:
         return None
-    model = None
-    for turn in range(2):
-        n, k = len(plus), len(minus)
-        plus = plus + [v for w in plus[:300] if len(w) > 3 for v in spaced(w, rng)] * turn
-        minus = minus + [v for w in minus[:1500] if len(w) > 3 for v in spaced(w, rng)] * turn
-        words = plus + minus
-        y = np.array([1.0] * len(plus) + [-1.0] * len(minus))
-        z = plus[: landmarks // 3] + plus[n : n + landmarks // 3] + [minus[i] for i in rng.permutation(k)[: landmarks // 3]]
-        e, u = np.linalg.eigh(kernel(z, z).astype(np.float64))
-        root = u[:, e > 1e-4] / np.sqrt(e[e > 1e-4])
-        x = kernel(words, z) @ root
-        weight = np.array([pos[w] ** 0.5 for w in plus] + [1 + neg[w] ** 0.5 for w in minus])
-        weight = np.where(y > 0, weight / weight[: len(plus)].sum(), weight / weight[len(plus) :].sum()) * len(words) / 2
-        b, bias = machine(x, y, weight)
-        o, p, w = subsequences(z)
-        table = np.bincount(p, w * (root @ b)[o], minlength=TABLE)
-        model = Model(table.astype(np.float32), bias, np.zeros(2))
-        known = set(plus)
-        if turn == 0:  # words of toxic documents only, alike to what was found
-            more = [w for w in pos if w not in neg and w not in known]
-            plus = plus + [w for w, m in zip(more, model.margins(more).tolist(), strict=True) if m > 0.5][:2000]
-    feats = np.stack([model.features(t) for t, _ in rows])
-    model.final = logistic(feats, np.array([y for _, y in rows], float))
+    # the same with characters inserted into every word, for some of either label
+    again = np.concatenate([rng.permutation(np.flatnonzero(y == k))[: learned // 4] for k in (0, 1)])
+    other = [[spaced(w, rng)[int(rng.integers(4))] if len(w) > 3 else w for w in found[i]] for i in again.tolist()]
+    origin = np.concatenate([np.arange(len(found)), again])
+    found, y = found + other, y[origin]
+    z = _landmarks(pos, neg, n_pos, len(rows) - n_pos, landmarks, rng)
+    z = list(dict.fromkeys(z + [v for w in z[: landmarks // 6] if len(w) > 3 for v in spaced(w, rng)[1:2]]))
+    words = sorted({w for s in found for w in s})
+    e, u = np.linalg.eigh(kernel(z, z).astype(np.float64))
+    root = u[:, e > 1e-4] / np.sqrt(e[e > 1e-4])
+    x = np.concatenate([kernel(words[at : at + BATCH], z) @ root for at in range(0, len(words), BATCH)]).astype(np.float32)
+    bags = _bags(found, {w: i for i, w in enumerate(words)}, x)
+    del x
+    plus = (hot if hot.any() else y == 1)[origin]
+    for turn in range(TURNS):
+        use = plus | (y == 0)
+        weight = np.where(plus[use], 0.5 / plus.sum(), 0.5 / (y == 0).sum()) * use.sum()
+        b, bias = machine(bags[use].astype(np.float64), np.where(plus[use], 1.0, -1.0), weight, c)
+        margin = bags @ b + bias
+        # a window and its copies with characters inserted go together
+        own = (margin[: len(chosen)] > 1)[origin] & (y == 1)
+        if turn == TURNS - 1 or not own.any() or (own == plus).all():
+            break
+        plus = own
+    o, p, w = subsequences(z)
+    model = Model(np.bincount(p, w * (root @ b)[o], minlength=TABLE).astype(np.float32), bias, np.zeros(2))
+    feats = np.array([[model.margin(t)] for t, _ in rows])
+    model.final = logistic(feats, np.array([k for _, k in rows], float))
     model.new, model.old = {}, {}
     return model
 
@@ -230,7 +300,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model | None:
     """Fit on at most ``per_label`` texts of either label, among rows whose
     crc32(id) mod 3 is not 1."""
-    rows = _learn.sample(docs, labels, label_col, per_label, _learn.learnable("k", 3, 1), id_col, text_col)
+    rows = _learn.sample(*_learn.labelled(docs, labels, label_col, id_col, text_col), per_label, _learn.learnable("k", 3, 1))
     return fit([(t, int(y)) for t, y in rows if y in (0, 1)])
 
 

@@ -193,6 +193,70 @@ def test_toxicity_tolerates_gaps():
     assert 0 <= model.score(None) == model.score("") < 0.7
 
 
+def test_toxicity_kernel_equals_enumeration():
+    """Subsequences of the shapes, enumerated; distinct ones take part apart."""
+    from itertools import combinations
+
+    def features(word):
+        w, out = f"^{word}$", {}
+        for n in (3, 4, 5):
+            for at in combinations(range(len(w)), n):
+                span = at[-1] - at[0] + 1
+                if span - n <= {3: 2, 4: 1, 5: 0}[n]:
+                    key = "".join(w[i] for i in at)
+                    out.setdefault(key, []).append(0.5 ** (span - n))
+        return out
+
+    shapes = [s for s in toxicity_kernel.SHAPES]
+    assert sorted(shapes) == sorted({tuple(i - at[0] for i in at) for n in (3, 4, 5) for at in combinations(range(5), n) if at[-1] - at[0] + 1 - n <= {3: 2, 4: 1, 5: 0}[n]})
+    words = ["clown", "cl-own", "crown", "table"]
+
+    def plain(a, b):
+        f, g = features(a), features(b)
+        norm = lambda x: sum(v * v for vs in x.values() for v in vs) ** 0.5
+        return sum(sum(f[k]) * sum(g[k]) for k in f if k in g) / norm(f) / norm(g)
+
+    want = [[plain(a, b) for b in words] for a in words]
+    np.testing.assert_allclose(toxicity_kernel.kernel(words, words), want, atol=2e-3)
+    assert want[0][1] > want[0][3]
+
+
+def test_long_texts_without_spaces_are_scored_in_parts():
+    model = toxicity_kernel.Model(np.zeros(toxicity_kernel.TABLE, np.float32), 0.0, np.array([1.0, -2.0]))
+    model.table[toxicity_kernel.subsequences(["grumble"])[1]] = 1
+    flat = "abcdefgh" * 40_000
+    assert model.score(flat) < model.score(flat + "grumble") and model.score(flat + " grumble") > 0.5
+
+
+def test_languages_of_odd_and_long_texts(spark):
+    rows = [(i, t, y, "s") for i, (t, y) in enumerate([("the house and the garden of the king", "en"), ("das haus und der garten von dem könig", "de")] * 20)]
+    odd = [(100, "²½①", None, "s"), (101, "—“”…😀。", None, "s"), (102, None, "en", None), (103, "", None, None), (104, "das haus und der garten. " * 30_000, None, "s"), (None, "the king", "en", "s"), (1, "das haus", "en", "s"), (1, "das haus", "en", "s")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, lang_pred string")
+    model = language_kernel.train(df)
+    got = language_kernel.predict(df, model).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 48 and [by[i]["lang_pred"] for i in (100, 101, 102, 103)] == ["und"] * 4 and by[104]["lang_pred"] == "de"
+    assert by[102]["score"] == 0 and all(0 <= r["score"] <= 1 for r in got) and by[None]["held_out"] is False
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    t = "das haus und der garten. " * 30_000
+    np.testing.assert_allclose(model.scores([t])[0], model.scores([t[: language_kernel.PIECE]])[0], atol=0.02)
+
+
+def test_samples_take_every_label_and_no_doubtful_id(spark):
+    from tessera.llm import _learn
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id, repeat('x', int(id % 7) * 9000)) as text")
+    labels = docs.selectExpr("doc_id", "doc_id % 1500 as y").unionAll(spark.createDataFrame([(5, 77), (6, 6), (7, None)], "doc_id long, y long"))
+    keyed, texts = _learn.labelled(docs, labels, "y")
+    got = _learn.sample(keyed, texts, 2, _learn.learnable("k", 3, 1))
+    ids = [int(t[5:].split("x")[0]) for t, _ in got if t.startswith("text ")]
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids) and 5 not in ids
+    assert all(len(t) <= _learn.LEARN_CHARS for t, _ in got)
+    most = max(sum(1 for _, y in got if y == k) for k in {y for _, y in got})
+    assert most <= 2 and len({y for _, y in got}) > 1200
+    assert _learn.sample(keyed.where("false"), texts, 2, F.lit(True)) == []
+
+
 def test_factorisation_machine_identity_and_fit():
     rng = np.random.default_rng(2)
     x = rng.random((400, 6))
