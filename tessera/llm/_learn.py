@@ -35,6 +35,7 @@ def sample(keyed: DataFrame, texts: DataFrame | None, per_class: int, allowed: C
     wanted = {r["y"]: 1.5 * per_class / r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not wanted:
         return []
+    chars = max(1, min(chars, total // len(wanted)))
     spark = keyed.sparkSession
     kind = keyed.schema["y"].dataType.simpleString()
     shares = spark.createDataFrame(list(wanted.items()), f"y {kind}, share double")
