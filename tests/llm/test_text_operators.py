@@ -94,23 +94,41 @@ def test_contamination_equals_brute_force(spark, odd, block_bytes):
     long = " ".join(t for _, t in docs[10:14])
     items = [(1, "One"), (2, None), (3, ""), (4, " ".join(docs[12][1].split()[:12])), (5, long[:300].upper()), (5, "the of and the of and"), (6, "not in there at all")]
     tests = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    found = phrase_index.contamination(odd, tests, block_bytes=block_bytes)
+    found = phrase_index.contamination(odd, tests, block_bytes=block_bytes, scan_bytes=2 * block_bytes)
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], frozenset(s["item_id"] for s in r["spans"])) for r in found.collect())
     assert got == hits_by_hand(docs, items)
 
 
-def test_full_index_and_proximity(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "cat sat on the mat with a hat"), (2, "hat " + "x " * 30 + "cat"), (3, "a hat, a cat")], "doc_id long, text string")
-    path = str(tmp_path / "index")
-    phrase_index.build(docs, path, segment_words=100)
-    near = phrase_index.search_near(spark, path, [(7, "hat cat")], within=8).collect()
-    assert sorted((r["doc_id"], r["start"], r["stop"]) for r in near) == [(1, 0, 8), (3, 1, 4)]
+def spans_by_hand(words, terms, within):
+    """Shortest spans of at most ``within`` words that hold all terms."""
+    out = []
+    for i in range(len(words)):
+        for j in range(i, min(len(words), i + within)):
+            part = words[i : j + 1]
+            if terms <= set(part) and not terms <= set(part[1:]) and not terms <= set(part[:-1]):
+                out.append((i, j + 1))
+    return out
+
+
+@pytest.mark.parametrize("within", [3, 8, 200])
+def test_proximity_equals_brute_force(spark, within):
+    rng = random.Random(within)
+    docs = [(f"d{i}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 90)))) for i in range(30)] + [("none", None), ("long", "a " + "z " * 150 + "b"), ("next", "c d")]
+    items = [("x", "a b c"), ("y", "h h"), ("z", "c d a"), ("q", "absent a"), ("e", ""), ("n", None)]
+    tests = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame(docs, "doc_id string, text string").coalesce(2)
+    found = phrase_index.contamination(df, tests, within=within, block_bytes=8, scan_bytes=16).collect()
+    got = {(r["doc_id"], s["item_id"], s["start"], s["stop"]) for r in found for s in r["near"]}
+    want = {(d, k, *x) for d, t in docs for k, q in items if q for x in spans_by_hand((t or "").split(), set(q.split()), within)}
+    assert got == want and len(found) == len(docs)
 
 
 def test_drop_contaminated_keeps_columns(spark, odd):
     tests = spark.createDataFrame([(1, "one")], "item_id long, text string")
     out = phrase_index.drop_contaminated(odd, tests)
     assert out.columns == odd.columns
+    clash = odd.withColumns({"gone": F.lit(1), "row": F.lit(2), "_px_key": F.lit("k")})
+    assert phrase_index.drop_contaminated(clash, tests).columns == clash.columns
     assert out.count() == odd.where("text is null or not lower(text) rlike '(^|[^a-z0-9])one([^a-z0-9]|$)'").count()
 
 
