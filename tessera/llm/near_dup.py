@@ -7,53 +7,59 @@ similarity itself. Classes are the connected components of the verified links.
 
 * Exact copies are brought down to one text first, so a group of copies costs as
   much as one document.
-* The inverse document frequency saturates: shingles in less than ``RARE`` of
-  all documents weigh the same. The frequent ones are found exactly, in two
-  passes: a shingle that is frequent overall is frequent in at least one chunk
-  of documents, and only those are counted. There are at most (mean shingles of
-  a document) / RARE of them, whatever the corpus' size.
-* Samples come from tables of 2**16 random (r, c, beta): an element's place in
-  them is a hash, and for the most common weight the samples are tabled too.
+* The inverse document frequency is that of every shingle, damped to lie between
+  1 and 2: 1 + ln(N / n) / ln(N), where n of N documents have it. Undamped, the
+  shingles that a thousand near copies share would weigh so much less than those
+  that an edit makes that the copies would no longer count as alike. The counts
+  are hashed to 2**22 counters, whatever the corpus; what other shingles add to
+  a counter on average is taken off. Weights are rounded to 1/64.
+* Samples come from tables of 2**14 random (r, c, beta): an element's place in
+  them is a hash, and for shingles that occur once the samples of all weights
+  are tabled too.
 * A bucket is not expanded into pairs. Its members meet its least member; where
-  several classes are left in it after that, members outside the main class meet
-  those of other classes, in chunks of bounded size, and links alone come out.
-  Pairs whose total weights rule out the similarity are skipped.
+  several classes are left in it after that, the members outside the main class
+  meet all others, in blocks of bounded size, and links alone come out. Pairs
+  whose total weights rule out the similarity are skipped.
 
 Defined results: words are as in ``phrase_index``; a text of one to four words
 is one shingle; a null text or one without words is a class of its own; rows
-that repeat share a class; an empty table gives no rows.
+that repeat share a class; of equal ids and texts one row is kept; ids may be of
+any type that has an order, null comes last; an empty table gives no rows; long
+texts are one set each, in batches of bounded size; ``drop_near_duplicates``
+passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm._common import materialize, small_batches
 from tessera.llm.phrase_index import _FOLD
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 6
-#: Share of the documents from which on a shingle's weight falls; documents of a chunk.
-RARE, CHUNK = 1 / 32, 1024
+#: Documents of a chunk; bits of a document counter's place, counters that move
+#: together, and steps of the inverse document frequency.
+CHUNK, COUNTERS, TOGETHER, STEPS = 1024, 22, 1024, 32
+_PLACES = 14
 _BITS = 20
-#: Members of a bucket in one chunk.
+#: Members of a bucket in one block.
 BLOCK = 256
 
 _rng = np.random.default_rng(20240501)
 _POW = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = _rng.gamma(2.0, 1.0, 1 << 16)
-_LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << 16))
-_BETA = _rng.random(1 << 16)
+_R = _rng.gamma(2.0, 1.0, 1 << _PLACES)
+_LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << _PLACES))
+_BETA = _rng.random(1 << _PLACES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,24 +103,22 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Weights:
-    """TF-IDF weights, relative to that of a rare shingle that occurs once."""
-
-    def __init__(self, frequent: np.ndarray, count: np.ndarray, n: int):
-        order = np.argsort(frequent)
-        self.frequent = frequent[order]
-        top = 1 + np.log(1 / RARE)
-        self.idf = (1 + np.log(max(n, 1) / np.maximum(count[order], 1))) / top
-        self.hit = np.zeros(1 << _BITS, bool)
-        self.hit[(self.frequent >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-
-    def of(self, s: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = times.astype(np.float64)
-        some = np.flatnonzero(self.hit[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if len(some):
-            i = np.minimum(np.searchsorted(self.frequent, s[some]), len(self.frequent) - 1)
-            ok = self.frequent[i] == s[some]
-            w[some[ok]] *= self.idf[i[ok]]
-        return w
+    """TF-IDF weights, relative to that of a shingle of one document that occurs
+    once. ``counts``: the documents of each counter's shingles; ``n``: all."""
+
+    def __init__(self, counts: np.ndarray, n: int):
+        others = counts.sum() / len(counts)
+        alone = np.clip(counts - others, 1, max(n, 1))
+        share = 1 - np.log(alone) / np.log(n) if n > 1 else np.ones(len(counts))
+        self.steps = np.rint(STEPS * share).astype(np.uint8)
+
+    def step(self, s: np.ndarray) -> np.ndarray:
+        return self.steps[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+
+
+def value(step: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
+    """The weight of a shingle by its step and how often it occurs."""
+    return (STEPS + step.astype(np.float64)) / (2 * STEPS) * times
 
 
 def _draw(log_w: np.ndarray | float, place: np.ndarray) -> np.ndarray:
@@ -128,25 +132,27 @@ def _draw(log_w: np.ndarray | float, place: np.ndarray) -> np.ndarray:
     return rank.astype(np.uint64) << np.uint64(32) | mark
 
 
-_TABLE = _draw(0.0, np.arange(1 << 16))
+#: Samples of shingles that occur once, by step and place.
+_TABLE = np.concatenate([_draw(np.log(value(np.array([k]))), np.arange(1 << _PLACES)) for k in range(STEPS + 1)])
 
 
-def bands(owner: np.ndarray, s: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+def bands(owner: np.ndarray, s: np.ndarray, step: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
     """Band keys (n by BANDS) of texts; those without shingles get zeros."""
     out = np.zeros((n, BANDS), np.uint64)
     if not len(s):
         return out.view(np.int64)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    low, odd = s & np.uint64(0xFFFFFFFF), np.flatnonzero(w != 1)
-    log_w, s_odd = np.log(w[odd]), s[odd]
+    low, odd = s & np.uint64(0xFFFFFFFF), np.flatnonzero(times != 1)
+    log_w, s_odd = np.log(value(step[odd], times[odd])), s[odd]
+    row, shift = step.astype(np.uint64) << np.uint64(_PLACES), np.uint64(64 - _PLACES)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
             key = np.full(len(first), b + 1, np.uint64)
             for seed in _SEED[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
-                value = _TABLE[(s * seed) >> np.uint64(48)]
+                drawn = _TABLE[row + ((s * seed) >> shift)]
                 if len(odd):
-                    value[odd] = _draw(log_w, ((s_odd * seed) >> np.uint64(48)).astype(np.int64))
-                least = np.minimum.reduceat(value ^ low, first) & np.uint64(0xFFFFFFFF)
+                    drawn[odd] = _draw(log_w, ((s_odd * seed) >> shift).astype(np.int64))
+                least = np.minimum.reduceat(drawn ^ low, first) & np.uint64(0xFFFFFFFF)
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
             out[owner[first], b] = key
     return out.view(np.int64)
@@ -161,22 +167,28 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(both / max(u.sum() + v.sum() - both, 1e-12))
 
 
-def pack(s: np.ndarray, w: np.ndarray) -> bytes:
-    """A set in bytes: its number, how many weights differ from 1, the high
-    halves of the shingles, then places and values of those weights."""
-    odd = np.flatnonzero(w != 1)
-    return np.array([len(s), len(odd)], "<u4").tobytes() + (s >> np.uint64(32)).astype("<u4").tobytes() + odd.astype("<u4").tobytes() + w[odd].astype("<f4").tobytes()
+def pack(s: np.ndarray, step: np.ndarray, times: np.ndarray) -> bytes:
+    """A set in bytes: its number, how many shingles occur more than once, places
+    and times of those, the high halves of the shingles, then their steps."""
+    odd = np.flatnonzero(times != 1)
+    return np.array([len(s), len(odd), *odd, *times[odd]], "<u4").tobytes() + (s >> np.uint64(32)).astype("<u4").tobytes() + step.astype("u1").tobytes()
 
 
 def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, k = np.frombuffer(x, "<u4", 2)
-    s, w = np.frombuffer(x, "<u4", n, 8), np.ones(n)
-    w[np.frombuffer(x, "<u4", k, 8 + 4 * n)] = np.frombuffer(x, "<f4", k, 8 + 4 * n + 4 * k)
+    n, k = np.frombuffer(x, "<u4", 2).tolist()
+    odd, times = np.frombuffer(x, "<u4", 2 * k, 8).reshape(2, k)
+    s, w = np.frombuffer(x, "<u4", n, 8 + 8 * k), value(np.frombuffer(x, "u1", n, 8 + 8 * k + 4 * n))
+    w[odd] *= times
     return s, w
 
 
 def digest(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "replace"))
+    """128 bits that stand for a text, as ``_digest`` has them in Spark."""
+    return hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).digest()
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -192,43 +204,46 @@ def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[
             at = stop
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(documents with shingles, shingles, documents of each) by chunk."""
-    held, n = [], 0
-    for b in _parts(batches):
-        owner, s, _ = shingles(b.column("t").to_pylist())
-        held.append(s)
-        n += len(np.unique(owner))
-        if n >= CHUNK or sum(map(len, held)) >= 1 << 21:
-            yield n, *np.unique(np.concatenate(held), return_counts=True)
-            held, n = [], 0
-    if n:
-        yield n, *np.unique(np.concatenate(held), return_counts=True)
-
-
 def weights(docs: DataFrame) -> Weights:
-    """The weights of a corpus (column ``t``), from two passes over all of it."""
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, s, c in _counts(batches):
-            at = np.unique((s[c >= np.ceil(RARE * n)] >> np.uint64(64 - _BITS)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(np.zeros(len(at), np.int64), n))], ["at", "n"])
-
-    # at most 2**20 places, whatever the corpus
-    found = docs.mapInArrow(propose, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    at, n = found.column("at").to_numpy(), found.column("n").to_numpy()
-    total = int(n[at < 0].sum())
-    hit = np.zeros(1 << _BITS, bool)
-    hit[at[at >= 0]] = True
+    """The weights of a corpus (column ``t``), from one pass over all of it. A
+    task adds its counters up before they move."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, c in _counts(batches):
-            ok = hit[(s >> np.uint64(64 - _BITS)).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(s[ok].view(np.int64)), pa.array(c[ok])], ["s", "c"])
-
-    # as many as the mean number of shingles of a document, over RARE, at most
-    often = docs.mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= RARE * total).toArrow()
-    return Weights(often.column("s").to_numpy().view(np.uint64), often.column("c").to_numpy(), total)
+        total, held, n = np.zeros(1 << COUNTERS, np.uint32), [], 0
+        for b in _parts(batches):
+            owner, s, _ = shingles(b.column("t").to_pylist())
+            n += len(np.unique(owner))
+            held.append((s >> np.uint64(64 - COUNTERS)).astype(np.int64))
+            if sum(map(len, held)) >= 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+        blocks = total.reshape(-1, TOGETHER)
+        some = np.flatnonzero(blocks.any(1))
+        for at in range(0, len(some), 256):
+            k = some[at : at + 256]
+            # four bytes a counter only where one byte is too little
+            data = [x.astype("<u4").tobytes() if x.max() > 255 else x.astype("u1").tobytes() for x in blocks[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([0] * len(k), pa.int64()), pa.array(data, pa.binary())], ["block", "n", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64()), pa.array([b""], pa.binary())], ["block", "n", "data"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(TOGETHER, np.uint64)
+        for x in pdf["data"]:
+            if x:
+                total += np.frombuffer(x, "u1" if len(x) == TOGETHER else "<u4").astype(np.uint64)
+        return pd.DataFrame({"block": [key[0]], "n": [pdf["n"].sum()], "data": [total.astype("<u8").tobytes() if key[0] >= 0 else b""]})
+
+    kinds = "block long, n long, data binary"
+    # 2**22 counters at most, whatever the corpus
+    found = docs.mapInArrow(count, kinds).groupBy("block").applyInPandas(add, kinds).toArrow()
+    counts, n = np.zeros((1 << COUNTERS) // TOGETHER * TOGETHER, np.float64).reshape(-1, TOGETHER), 0
+    for block, m, data in zip(*(found.column(c).to_pylist() for c in ("block", "n", "data")), strict=True):
+        n += m
+        if block >= 0:
+            counts[block] = np.frombuffer(data, "<u8")
+    return Weights(counts.ravel(), n)
 
 
 def _signatures(docs: DataFrame, weight: Weights) -> DataFrame:
@@ -238,13 +253,13 @@ def _signatures(docs: DataFrame, weight: Weights) -> DataFrame:
         for b in _parts(batches):
             texts = b.column("t").to_pylist()
             owner, s, times = shingles(texts)
-            w = weight.of(s, times)
-            total = np.bincount(owner, w, minlength=len(texts))
-            keys = bands(owner, s, w, len(texts))
+            step = weight.step(s)
+            total = np.bincount(owner, value(step, times), minlength=len(texts)).astype(float)  # of nothing it is integers
+            keys = bands(owner, s, step, times, len(texts))
             g = [digest(t) if n > 0 else None for t, n in zip(texts, total.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g, pa.binary()), pa.array(total), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "g", "total", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(g, pa.binary()), pa.array(total, pa.float64()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "g", "total", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, g binary, total double, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, g binary, total double, bands array<long>")
 
 
 def _sets(docs: DataFrame, pool: DataFrame, weight: Weights) -> DataFrame:
@@ -266,9 +281,9 @@ def _sets(docs: DataFrame, pool: DataFrame, weight: Weights) -> DataFrame:
                     texts.append(t)
                     gs.append(g)
             owner, s, times = shingles(texts)
-            w = weight.of(s, times)
+            step = weight.step(s)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            x = [pack(s[i:j], w[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            x = [pack(s[i:j], step[i:j], times[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(gs, pa.binary()), pa.array(x, pa.binary())], ["g", "x"])
 
     return docs.mapInArrow(run, "g binary, x binary").join(pool, "g", "left_semi").dropDuplicates(["g"])
@@ -286,15 +301,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _dealt(rest: DataFrame) -> DataFrame:
+    """Cells (band, i, j) of blocks: block i of a bucket's members outside its
+    main class, and block j of all its members. Rows are (band, g, label, main,
+    n, n_odd); a member stands in its column of cells, one outside the main class
+    in its row of cells too. One such member among a million meets them in as
+    many cells as there are blocks, and nothing else is repeated."""
+    odd = F.col("label") != F.col("main")
+    rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_odd", "n"))
+    here = F.xxhash64("g", "band")
+    every = F.sequence
+    own = rest.select("band", "g", "label", F.lit(False).alias("odd"), F.explode(every(F.lit(0), rows - 1)).alias("i"), F.pmod(here, columns).cast("int").alias("j"))
+    met = rest.where(odd).select("band", "g", "label", F.lit(True).alias("odd"), F.pmod(here, rows).cast("int").alias("i"), F.explode(every(F.lit(0), columns - 1)).alias("j"))
+    return own.unionAll(met)
+
+
 def _meet(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between classes within buckets. Rows are (band, g, label,
-    main, n): members outside the bucket's main class meet all members of other
-    classes. A bucket is dealt in chunks of ``BLOCK`` members, and a task holds
-    two chunks; no pairs are emitted but links."""
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("g"), chunks).cast("int")
-    dealt = rest.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    keyed = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "g", "label", (F.col("label") != F.col("main")).alias("odd")).join(sets, "g")
+    """Links (a, b) between classes within buckets: members outside the bucket's
+    main class meet all members of other classes, cell by cell. A task holds two
+    blocks of ``BLOCK`` members or so; no pairs are emitted but links."""
+    keyed = _dealt(rest).join(sets, "g")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packed = [unpack(x) for x in pdf["x"]]
@@ -317,7 +343,7 @@ def _meet(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return keyed.groupBy("band", "lo", "hi").applyInPandas(run, "a binary, b binary")
+    return keyed.groupBy("band", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,7 +367,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the least id (texts of one id in order of their digests)."""
     spark: SparkSession = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     weight = weights(docs.select("t"))
     signed = materialize(_signatures(docs, weight))
     texts = signed.where(F.col("g").isNotNull()).groupBy("g").agg(F.first("total").alias("total"), F.first("bands").alias("bands"))
@@ -355,7 +381,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links)
     # buckets in which several classes are left: their smaller classes meet all
     named = met.select("band", "g").join(labels, "g", "left").withColumn("label", F.coalesce("label", "g"))
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    sizes = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_odd"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     rest = materialize(named.join(sizes, "band"))
     if not rest.isEmpty():
         links = links.unionAll(materialize(_meet(rest, sets, least)))
@@ -377,26 +403,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of each class, with its own columns: the keeper, and of rows that
     repeat its id and text one."""
+    t = F.col(f"`{text_col}`")
+    rows = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("k"), F.when(t != "", _digest(t)).alias("x"))
     found = near_duplicates(df, id_col, text_col, least)
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))]
-    marked = _with_digest(df, text_col)
-    gone = found.where(~F.col("keeper")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_nd_id"), F.col("g").alias("_nd_g")).distinct()
-    repeated = found.where("keeper and g is not null").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_nd_rid"), F.col("g").alias("_nd_rg")).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    left = marked.join(gone, (key[0] == F.col("_nd_id")) & (F.col("_nd_digest") == F.col("_nd_g")), "left_anti")
-    if not repeated.isEmpty():
-        same = (key[0] == F.col("_nd_rid")) & (F.col("_nd_digest") == F.col("_nd_rg"))
-        once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "_nd_digest"])
-        left = left.join(repeated, same, "left_anti").unionAll(once)
-    return left.drop("_nd_digest")
-
-
-def _with_digest(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` and ``_nd_digest``, the digest of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = [digest(t) if t else None for t in b.column("_nd_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(g, pa.binary())], [*b.schema.names[:-1], "_nd_digest"])
-
-    kinds = T.StructType([*df.schema.fields, T.StructField("_nd_digest", T.BinaryType())])
-    return df.select("*", F.col(f"`{text_col}`").alias("_nd_text")).mapInArrow(run, kinds)
+    gone = found.where(~F.col("keeper")).select("doc_id", "g").distinct()
+    again = found.where("keeper and g is not null").groupBy("doc_id", "g").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    same = F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("g"))
+    left = rows.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").groupBy("k", "x").agg(F.first("row").alias("row")).select("row", "k", "x")
+        left = left.join(again, same, "left_anti").unionAll(once)
+    return left.select("row.*")

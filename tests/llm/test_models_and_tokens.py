@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +125,21 @@ def words_of(rng, n):
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
 
 
+def weighted_by_hand(texts):
+    """Five-word shingles and weights, from the definition."""
+    bags = []
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] if w else []))
+    df, n = Counter(g for b in bags for g in b), sum(map(bool, bags))
+    return [{g: k * (1 + math.log(n / df[g]) / math.log(n)) for g, k in b.items()} for b in bags]
+
+
+def alike_by_hand(a, b):
+    both = sum(min(v, b[g]) for g, v in a.items() if g in b)
+    return both / (sum(a.values()) + sum(b.values()) - both) if a and b else 0
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(4)
     texts = []
@@ -135,16 +153,11 @@ def test_near_duplicates_equal_brute_force(spark):
             texts.append(" ".join(w))
     texts += [None, "", "two words", "Two  words!", texts[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("g", F.lit(1)).repartition(3)
-    owner, s, times = near_dup.shingles(texts)
-    u, c = np.unique(s, return_counts=True)
-    n = len(np.unique(owner))
-    weight = near_dup.Weights(u[c >= near_dup.RARE * n], c[c >= near_dup.RARE * n], n)
-    w, cut = weight.of(s, times), np.searchsorted(owner, np.arange(len(texts) + 1))
-    sets = [near_dup.pack(s[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    sets = weighted_by_hand(texts)
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i]) > 8 and len(sets[j]) > 8 and near_dup.similarity(sets[i], sets[j]) >= 0.8:
+            if alike_by_hand(sets[i], sets[j]) >= 0.8:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df).collect()}
@@ -153,6 +166,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
+def test_one_odd_member_does_not_repeat_a_bucket(spark):
+    main = spark.range(5000).selectExpr("7L as band", "cast(cast(id as string) as binary) as g", "cast('m' as binary) as label", "cast('m' as binary) as main", "5001L as n", "1L as n_odd")
+    odd = spark.createDataFrame([(7, b"z", b"z", b"m", 5001, 1)], main.schema)
+    dealt = near_dup._dealt(main.unionAll(odd)).collect()
+    assert len(dealt) == 5001 + 20 and {(r["i"], r["j"]) for r in dealt if r["odd"]} == {(0, j) for j in range(20)}
+
+
+def test_blocks_of_a_bucket_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.integers(1, 1 << 63, 60).astype(np.uint64))
+    one, sets, want = np.ones(60, np.int64), [], 0
+    for i in range(40):
+        s = base.copy()
+        s[rng.permutation(60)[: int(rng.integers(0, 9))]] += np.uint64((i + 1) << 33)
+        sets.append(near_dup.pack(np.sort(s), np.full(60, 32), one))
+    root = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if near_dup.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    name = [f"{i:02d}".encode() for i in range(40)]
+    rest = spark.createDataFrame([(1, name[i], name[i], name[0], 40, 39) for i in range(40)], "band long, g binary, label binary, main binary, n long, n_odd long")
+    links = near_dup._meet(rest, spark.createDataFrame(list(zip(name, sets, strict=True)), "g binary, x binary"), 0.8).collect()
+    got = list(range(40))
+    for r in links:
+        a, b = got[int(bytes(r["a"]))], got[int(bytes(r["b"]))]
+        got = [min(a, b) if x in (a, b) else x for x in got]
+    assert got == root and 1 < len(set(root)) < 40
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [("b", t, 1), ("a", t, 2), ("a", t, 3), (None, t, 4), ("c", None, 5), ("c", None, 6), (None, "", 7), ("d", "...", 8), ("e", t + " x" * 50_000, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _nd_digest int").withColumns({"row": F.lit(1), "g": F.lit("g"), "k": F.lit("k")})
+    got = sorted((r["doc_id"] or "", r["class_id"] or "", r["keeper"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == sorted([("b", "a", False), ("a", "a", True), ("a", "a", True), ("", "a", False), ("c", "c", True), ("c", "c", True), ("", "", True), ("d", "d", True), ("e", "e", True)])
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r["_nd_digest"] for r in kept.collect())[1:] == [5, 6, 7, 8, 9] and kept.count() == 6
+    assert near_dup.drop_near_duplicates(df.where("false")).count() == 0
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     a, b = rng.choice(4000, (2, 600), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -162,7 +218,7 @@ def test_samples_agree_as_often_as_sets_are_alike():
         rows = []
         for seed in near_dup._SEED:
             with np.errstate(over="ignore"):
-                v = near_dup._TABLE[(s * seed) >> np.uint64(48)] ^ (s & np.uint64(0xFFFFFFFF))
+                v = near_dup._TABLE[(s * seed) >> np.uint64(64 - near_dup._PLACES)] ^ (s & np.uint64(0xFFFFFFFF))
             rows.append(int(v.min()) & 0xFFFFFFFF)
         samples.append(rows)
     same = np.mean([p == q for p, q in zip(*samples, strict=True)])
