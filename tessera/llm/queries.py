@@ -95,7 +95,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.size(F.split("text", "\n"))
-    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n_lines), **line_dedup.ALL_LINES)
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", n_lines))
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -103,9 +103,9 @@ ORACLE_SQL["op3_line_dedup"] = r"""
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
   lines as (select doc_id, text, i - 1 as n, ls[i] as line, list_filter(regexp_split_to_array(ls[i], '[ \t\x0b\x0c\r]+'), lambda x: x <> '') as w
             from (select doc_id, text, ls, unnest(range(1, len(ls) + 1)) as i from docs)),
-  able as (select doc_id, n, array_to_string(w, ' ') as s, w, len(w) as c from lines where len(w) >= 5),
+  able as (select doc_id, n, array_to_string(w, ' ') as s, w, len(w) as c from lines where len(w) >= 1),
   uniq as (select s, any_value(w) as w, any_value(c) as c, min((doc_id, n)) as first from able group by s),
-  spread as (select s, first, c, w, unnest(range(1, c + 1)) as i from uniq where c >= 10),
+  spread as (select s, first, c, w, unnest(range(1, c + 1)) as i from uniq where c >= 5),
   keys as (
     select 'S' || i || '/' || c || '/' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') as key, 0 as kind, s, first from spread
     union all select 'D' || array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' '), 1, s, first from spread
@@ -129,7 +129,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs).select("doc_id", "class_id", "keeper")
 
+
 _FORMS = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_FORMS)
+_OUTER = quality_rules.OUTER.replace("'", "''")
 ORACLE_SQL["op7_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
   w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
@@ -137,7 +139,7 @@ with d as (select doc_id, coalesce(text, '') as t from documents),
   many as (select doc_id, g from g group by doc_id, g having count(*) > 1),
   covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from g join many using (doc_id, g)) group by doc_id),
   m as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
-          (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, len(list_filter(w, lambda x: list_contains([{_FORMS}], x)))::bigint as n_stop_words
+          (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, len(list_filter(w, lambda x: list_contains([{_FORMS}], trim(x, '{_OUTER}'))))::bigint as n_stop_words
         from w left join covered c using (doc_id)),
   r as (select *, n_words >= 10 as r1, coalesce(n_repeat_words <= 0.2::double * n_words and n_words > 0, false) as r2, coalesce(word_chars / nullif(n_words, 0) between 2 and 15, false) as r3, coalesce(n_symbols / nullif(n_words, 0) <= 0.2::double, false) as r4,
           coalesce(n_stop_words / nullif(n_words, 0) >= 0.02::double, false) as r5, coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5::double, false) as r6 from m)

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,13 +133,20 @@ def test_drop_contaminated_keeps_columns(spark, odd):
     assert out.count() == odd.where("text is null or not lower(text) rlike '(^|[^a-z0-9])one([^a-z0-9]|$)'").count()
 
 
-def near_by_hand(docs, least=5, near=10):
-    lines = [((d, n), line_dedup.line_words(x)) for d, t in docs for n, x in enumerate((t or "").split("\n"))]
+def one_edit(a, b):
+    """One word replaced, inserted or deleted, by trying all."""
+    if len(a) < len(b):
+        a, b = b, a
+    return len(a) - len(b) <= 1 and any(a[:i] + a[i + 1 :] == (b if len(a) > len(b) else b[:i] + b[i + 1 :]) for i in range(len(a)))
+
+
+def near_by_hand(docs, least=1, near=5):
+    lines = [((d, n), re.findall(r"[^ \t\r\x0b\x0c\n]+", x)) for d, t in docs for n, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(x[1]) >= least]
     gone = set()
     for at, w in lines:
         for other, v in lines:
-            if other < at and (w == v or len(w) >= near and len(v) >= near and line_dedup.edits(w, v) <= 1):
+            if other < at and (w == v or len(w) >= near and len(v) >= near and one_edit(w, v)):
                 gone.add(at)
     return gone
 
@@ -163,6 +171,30 @@ def test_line_dedup_equals_brute_force(spark):
         assert out[d]["text"] == keep and out[d]["d"] == "clash"
 
 
+def test_line_dedup_of_odd_tables(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(3000))
+    rows = [(None, "same words here\nown", 1), (5, "same words here", 2), (5, "first at five\n\n \nother", 3), (9, "same  words here\nfirst at five\n\n", 4), (9, None, 5), (11, long, 6), (12, long + "\n" + "word " * 6000, 7), (13, "word " * 5999, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ld_removed int").withColumns({c: F.lit(c) for c in ("d", "k", "t", "row", "removed")})
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "_ld_removed_"]
+    got = {r["_ld_removed"]: r for r in out.collect()}
+    assert [got[i]["text"] for i in range(1, 6)] == ["own", "same words here", "first at five\n\n \nother", "\n", None]
+    assert got[6]["text"].split("\n")[0] == "line 0 of a long text" and got[7]["text"] == ("word " * 6000) and got[8]["text"] == ""
+    assert all(r["removed"] == "removed" and r["d"] == "d" for r in got.values())
+    assert [tuple(x) for x in got[4]["_ld_removed_"]] == [(0, 5, 0), (1, 5, 0)]
+    words = line_dedup.dedup_lines(df.withColumn("doc_id", F.concat(F.lit("x"), "doc_id")))
+    assert words.count() == 8
+
+
+def test_fields_hold_all_their_keys(spark):
+    rng = np.random.default_rng(0)
+    keys = rng.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    field = line_dedup.Field(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    other = rng.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    assert field.has(keys).all() and field.has(other).mean() < 0.02
+    assert not line_dedup.Field(spark.createDataFrame([], "key long")).has(other).any()
+
+
 def test_line_dedup_query_takes_short_lines(spark, tmp_path):
     rng = random.Random(8)
     base = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(14)]
@@ -175,7 +207,7 @@ def test_line_dedup_query_takes_short_lines(spark, tmp_path):
 
     docs = [(i, "\n".join([line() for _ in range(rng.randint(1, 4))] + ["", " "])) for i in range(40)] + [(50, None), (51, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    gone = Counter(d for d, _ in near_by_hand(docs, 1, 5))
+    gone = Counter(d for d, _ in near_by_hand(docs))
     rows = queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {d: gone[d] for d, _ in docs}
 
