@@ -23,9 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that repeat an earlier one; documents left without a word go."""
-    out = line_dedup.dedup_lines(docs, **line_dedup.ALL_LINES)
-    out = out.where(F.col("_ld_removed").isNull() | (F.regexp_replace("text", quality_rules.WHITE_RUN, "") != ""))
-    length = F.when(F.col("_ld_removed").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    out = line_dedup.dedup_lines(docs)
+    whole = F.col(out.columns[-1]).isNull()  # the report of removed lines
+    out = out.where(whole | (F.regexp_replace("text", quality_rules.WHITE_RUN, "") != ""))
+    length = F.when(whole, F.col("n_chars")).otherwise(F.length("text"))
     return out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
