@@ -224,6 +224,88 @@ def test_main_text(spark):
     assert got[2] == got[3] == "" and got[5] == "a\na\na"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>where <math><mi>x</mi><mo>=</mo><mi>y</mi></math> holds for all.</p></article>", "where x=y holds for all."),
+        ("<article><p>text of the article here</p><section id='related-work'><p>Others did it before us.</p></section><div class='related-posts'><p>Read this now</p></div></article>", "text of the article here\nOthers did it before us."),
+        ("<article><p>words <i title='a > b' class=x>before</i> words here</p></article>", "words before words here"),
+        ("<article><p>words <i title=\"" + "a > b " * 2000 + "\">before</i> words here</p></article>", "words before words here"),
+        ("<article><p>see the <a href=http://x/>words of a link</a> here</p><p>it's 5 o'clock</p></article>", "see the words of a link here\nit's 5 o'clock"),
+    ],
+)
+def test_markup_that_misleads(page, text):
+    assert "\n".join(main_text.extract(page, main_text.train())) == text
+
+
+def test_link_words_of_an_unquoted_address_count():
+    assert [(b.words, b.link_words) for b in main_text.blocks("<p><a href=http://x/>four words of link</a> and</p>")] == [(5, 4)]
+
+
+def test_pages_without_marks():
+    menu = "".join(f"<div><a href='/{i}'>Section {i}</a></div>" for i in range(6))
+    body = [" ".join(["plain words of the text follow each other"] * n) for n in (6, 9, 5)]
+    foot = "".join(f"<div><a href='/f{i}'>More {i}</a></div>" for i in range(4))
+    page = f"<body><div>Site name</div>{menu}<div>A title of six words here</div>{''.join(f'<div>{b}</div>' for b in body)}<div>Read more</div>{foot}</body>"
+    assert main_text.extract(page, main_text.train()) == ["A title of six words here", *body]
+    used = {main_text.FEATURES[f] for f in main_text.train().feature if f >= 0}
+    assert {"words", "link_density"} <= used and used & {"prev_words", "next_words", "prev_link_density", "next_link_density"}
+
+
+def blocks_by_hand(page):
+    """Texts of a page's blocks by the library's own reader of markup."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.text, self.raw = [], [], 0
+
+        def flush(self):
+            if t := " ".join("".join(self.text).split()):
+                self.out.append(t)
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style", "title", "button")
+            if tag in main_text._BLOCK:
+                self.flush()
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style", "title", "button")
+            if tag in main_text._BLOCK:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.flush()
+    return r.out
+
+
+def test_blocks_equal_a_plain_reader():
+    rng = random.Random(7)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(3, 30)):
+            tag = rng.choice(["p", "div", "li", "h2", "section", "article"])
+            text = " ".join(rng.choice(["alpha", "b &amp; c", "&lt;x&gt;", "<b>bold</b>", "<a href='/q?a=1' title=\"x > y\">link</a>", "caf\u00e9\n"]) for _ in range(rng.randint(0, 12)))
+            parts.append(f"<{tag} class=\"k{rng.randint(0, 9)}\">{text}</{tag}>" + rng.choice(["", "<br>", "<script>if (a < b) { x(); }</script>", "tail text"]))
+        page = "<html><head><title>T</title></head><body>" + "".join(parts) + "</body></html>"
+        assert [b.text for b in main_text.blocks(page)] == blocks_by_hand(page)
+
+
+def test_main_text_of_repeated_long_and_deep_pages(spark):
+    deep = "<div>" * 3000 + "<article><p>" + "some words of it " * 30_000 + "</p></article>" + "</b>" * 3000
+    df = spark.createDataFrame([(1, "u", deep), (1, "u", deep), (None, "v", "<article><p>short text stands here</p></article>")], "page_id long, url string, html string").withColumns({"text": F.lit(1), "blocks": F.lit(2)})
+    got = main_text.main_text(df).collect()
+    assert sorted(len(r["text"]) for r in got) == [22, 17 * 30_000 - 1, 17 * 30_000 - 1]
+
+
 def test_tree_learns_its_table():
     t = main_text.train()
     assert all((t.predict(__import__("numpy").array([r[:-1]], float))[0] >= 0.5) == (r[-1] == 1) for r in main_text.TABLE)
