@@ -22,17 +22,46 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the cluster's shared checkpoint folder.
+def _root(spark: SparkSession) -> str:
+    """This application's folder in the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (local tests) a temporary folder is used.
+    ``spark.checkpoint.dir`` is read from the session. Only a session on one
+    machine, such as a test's, may do without: then it is a temporary folder. On a
+    cluster parts of a table would lie on separate machines, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+#: Folders that this process made, in order.
+_MADE: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    _MADE.append(f"{_root(spark)}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many folders were made so far, for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Delete the folders made from the ``first`` on, but for the last ``keep``.
+    What was read from them must not be read any more."""
+    gone = _MADE[first : len(_MADE) - keep]
+    del _MADE[first : len(_MADE) - keep]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

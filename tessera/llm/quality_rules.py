@@ -7,9 +7,10 @@ projection: no shuffle, no Python, no state.
 
 Defined results: a null, empty or blank text has no words and no lines, fails
 the rule on the number of words and is rejected. Texts are taken whole, rows
-are judged one by one (so repeated rows get the same verdict), and columns
-other than the text pass through untouched; names that the operator adds must
-not exist yet.
+are judged one by one (so repeated rows get the same verdict). ``keep_good``
+passes all columns through, whatever their names; ``judge`` replaces columns of
+the names that it adds. The five-word windows of a text are one array of some
+five times its size, in the memory of one task.
 """
 
 from __future__ import annotations

@@ -60,6 +60,33 @@ def test_quality_rules_are_native_and_a_filter_stays_small(odd):
     assert kept.count() > 0 and kept.where("text is null").count() == 0
 
 
+def test_quality_rules_of_long_texts_and_clashing_names(spark):
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) if rng.random() < 0.7 else "the" for _ in range(200_000))
+    df = spark.createDataFrame([(1, long, "x"), (2, "few", "y")], "doc_id long, text string, n_words string").withColumn("kept", F.lit("z"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    n, _, _, _, repeats = rules_by_hand(long)
+    assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["kept"], got[2]["kept"]) == (n, repeats, True, False)
+    assert [tuple(r)[2:] for r in quality_rules.keep_good(df).collect()] == [("x", "z")]
+
+
+def test_folders_are_shared_or_refused(spark):
+    from tessera.llm import _common
+
+    class Lone:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://a:1", "getConf": staticmethod(dict)})
+
+    with pytest.raises(ValueError, match="share"):
+        _common.shared_dir(Lone)
+    first = _common.made()
+    a, b = _common.materialize(spark.range(3)), _common.materialize(spark.range(4))
+    _common.release(spark, first, keep=1)
+    assert _common.made() == first + 1 and b.count() == 4
+    with pytest.raises(Exception):
+        a.count()
+
+
 def test_empty_tables(spark, odd):
     none = odd.where("false")
     assert quality_rules.judge(none).count() == 0
