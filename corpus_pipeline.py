@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next stage's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and any more that ``docs`` has.
+
+Defined results, stage by stage, are those of the operators: a null, empty or
+blank text fails the quality rules; of rows that repeat, id and text, one is
+kept; ids may be null; an empty table stays empty; texts of any length are taken
+whole.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, near_dup, packing, phrase_index, quality_rules
-from tessera.llm._common import materialize, read
+from tessera.llm._common import made, materialize, read, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,7 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    docs, first = read(spark, sf_dir, "documents"), made()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        # what the stage wrote on its way, and what the one before it left
+        release(spark, first, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
