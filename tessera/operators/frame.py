@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.expressions import NAN, ieee_div
+from tessera.operators.arrays import Coo
 from tessera.operators.profiles import PROFILES, Scope, add
+from tessera.operators.series import Series
 from tessera.plans.options import AsofOptions, JoinOptions, SortOptions
+from tessera.sources.io import write_csv
 
 _ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": ieee_div}
 _COMPARE = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b}
@@ -96,6 +100,28 @@ class Frame:
 
     mps = cuda
 
+    def print(self, rows: int = 20) -> None:
+        self.head(rows).df.orderBy(*self.order).show(rows, truncate=False)
+
+    def column(self, name: str) -> Series:
+        return Series(self.df, name, self.order[0])
+
+    def to_matrix(self, names: Sequence[str] | None = None) -> Coo:
+        """Numeric columns as a matrix (rows in the frame's order); null is NaN."""
+        names = list(names or [f.name for f in self.df.schema if isinstance(f.dataType, _NUMERIC) and f.name not in self.order])
+        for n in names:
+            if not isinstance(self.column_dtype(n), _NUMERIC):
+                raise TypeError(f"{n} is not numeric")
+        numbered = self._numbered("i0")
+        cells = F.posexplode(F.array(*(F.coalesce(F.col(n).cast("double"), F.lit(math.nan)) for n in names))).alias("i1", "v")
+        return Coo(numbered.select("i0", cells).withColumn("i1", F.col("i1").cast("long")), (self.height(), len(names)), True)
+
+    def write_parquet(self, path: str, mode: str = "error") -> None:
+        self.df.write.mode(mode).parquet(path)
+
+    def write_csv(self, path: str) -> None:
+        write_csv(self.df, path)
+
     def to_arrow_table(self) -> pa.Table:
         return self.df.toArrow()
 
@@ -146,10 +172,38 @@ class Frame:
     def filter_column_mask(self, mask: str) -> Frame:
         return self._new(self.df.where(F.col(mask)))
 
+    def filter(self, mask: Sequence[bool]) -> Frame:
+        """Rows by a mask on the driver, one value a row in the frame's order;
+        the positions that are true are joined, the mask itself stays here."""
+        spark = self.df.sparkSession
+        at = spark.createDataFrame([(i,) for i, m in enumerate(mask) if m], "__pos long")
+        if self.height() != len(mask):
+            raise ValueError("mask and frame differ in length")
+        return self._new(self._numbered("__pos").join(at, "__pos").drop("__pos"))
+
+    def _numbered(self, name: str, df: DataFrame | None = None, order: Sequence[Column | str] = ()) -> DataFrame:
+        """Row positions from 0 in the frame's order. Rows are sorted by ranges;
+        a range starts at the number of rows in those before it, so no task holds
+        all rows. One count a range comes to the driver."""
+        df = self.df if df is None else df
+        ordered = df.orderBy(*(order or self.order))
+        part = ordered.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+        counts = sorted((r["__part"], r["count"]) for r in part.groupBy("__part").count().collect())
+        first, total = [], 0
+        for p, n in counts:
+            first.append((p, total))
+            total += n
+        if not first:
+            return df.withColumn(name, F.lit(0).cast("long"))
+        starts = F.broadcast(self.df.sparkSession.createDataFrame(first, "__part int, __first long"))
+        return part.join(starts, "__part").withColumn(name, F.col("__first") + F.col("__in")).drop("__part", "__in", "__first")
+
     def filter_column_scalar(self, col: str, scalar: object, op: str) -> Frame:
         """A plain comparison where no NaN can tell the difference, so that it
         reaches the scan."""
         kind = self.column_dtype(col)
+        if isinstance(scalar, float) and math.isnan(scalar):  # IEEE: all values differ from NaN
+            return self._new(self.df.where(F.col(col).isNotNull() & (op == "ne")))
         plain = _COMPARE[op](F.col(col), F.lit(scalar).cast(kind))
         if isinstance(kind, _FLOAT) and op in ("gt", "ge"):
             plain = plain & ~F.isnan(col)
@@ -158,7 +212,7 @@ class Frame:
     def take(self, indices: DataFrame, index: str = "index", optional: bool = False) -> DataFrame:
         """Rows by position: ``indices`` has positions (from 0) and its own
         ``at`` column as the order of the result."""
-        numbered = self.df.withColumn("__pos", F.row_number().over(Window.orderBy(*self.order)) - 1)
+        numbered = self._numbered("__pos")
         return indices.join(numbered, indices[index] == numbered["__pos"], "left" if optional else "inner").drop("__pos")
 
     def head(self, n: int) -> Frame:
@@ -180,6 +234,9 @@ class Frame:
                 raise TypeError(f"{a} and {b} have different types")
 
     def _join(self, right: Frame, lks: Sequence[str], rks: Sequence[str], how: str, suffix: str) -> DataFrame:
+        """Right columns whose names are taken get the suffix, as often as needed."""
+        if not suffix and how in ("inner", "left", "full") and set(self.df.columns) & (set(right.df.columns) - set([rks] if isinstance(rks, str) else rks)):
+            raise ValueError("columns clash and there is no suffix")
         lks, rks = ([lks], [rks]) if isinstance(lks, str) else (list(lks), list(rks))
         self._join_keys(right, lks, rks)
         r = right.df.select(*(F.col(c).alias(f"__r_{c}") for c in right.df.columns))
@@ -187,9 +244,15 @@ class Frame:
         joined = self.df.join(r, on, how)
         if how in ("left_semi", "left_anti"):
             return joined
-        taken = set(self.df.columns)
+        names, taken = {}, set(self.df.columns)
+        for c in right.df.columns:
+            if c not in rks:
+                names[c] = c
+                while names[c] in taken:
+                    names[c] += suffix
+                taken.add(names[c])
         left = [F.coalesce(self.df[c], r[f"__r_{rks[lks.index(c)]}"]).alias(c) if how == "full" and c in lks else self.df[c] for c in self.df.columns]
-        rest = [r[f"__r_{c}"].alias(c + suffix if c in taken else c) for c in right.df.columns if c not in rks]
+        rest = [r[f"__r_{c}"].alias(n) for c, n in names.items()]
         return joined.select(*left, *rest)
 
     def inner_join(self, right: Frame, lk, rk, o: JoinOptions = JoinOptions()) -> Frame:
@@ -345,14 +408,32 @@ class Frame:
         return self.sort_by(col, o).limit(k)
 
     def argsort_by(self, col: str, o: SortOptions = SortOptions()) -> Frame:
+        if not self.partition:
+            if "argsort" in self.df.columns:
+                raise ValueError("column exists already: argsort")
+            return self._new(self._numbered("argsort", order=(self._sort(col, o), *self.order)))
         w = Window.partitionBy(*self.partition).orderBy(self._sort(col, o), *self.order)
         return self.with_column("argsort", (F.row_number().over(w) - 1).cast("long"))
 
     def rank_profile_by(self, col: str, prefix: str, o: SortOptions = SortOptions()) -> Frame:
+        if not self.partition:
+            return self._new(self._ranked(col, prefix, o))
         w = Window.partitionBy(*self.partition).orderBy(self._sort(col, o))
         ordinal = Window.partitionBy(*self.partition).orderBy(self._sort(col, o), *self.order)
         return self._new(add(self.df, prefix, {"ordinal_rank": F.row_number().over(ordinal).cast("long"), "competition_rank": F.rank().over(w).cast("long"), "dense_rank": F.dense_rank().over(w).cast("long"), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w)}))
 
+    def _ranked(self, col: str, prefix: str, o: SortOptions) -> DataFrame:
+        """Ranks over the whole frame: positions by ranges, then, by value, the
+        first and last position and the number among the values."""
+        rows = self._numbered("__r", order=(self._sort(col, o), *self.order))
+        values = rows.groupBy(F.col(col).alias("__v")).agg(F.min("__r").alias("__a"), F.max("__r").alias("__z"))
+        values = self._numbered("__d", values, ("__a",))
+        n = F.broadcast(rows.agg(F.count("*").alias("__n")))
+        joined = rows.join(values, F.col(col).eqNullSafe(F.col("__v"))).crossJoin(n)
+        a, n_rows = F.col("__a"), F.col("__n")
+        ranks = {"ordinal_rank": F.col("__r") + 1, "competition_rank": a + 1, "dense_rank": F.col("__d") + 1, "percent_rank": F.when(n_rows > 1, a / (n_rows - 1)).otherwise(F.lit(0.0)), "cume_dist": (F.col("__z") + 1) / n_rows}
+        return add(joined, prefix, ranks, ("__r", "__v", "__a", "__z", "__d", "__n"))
+
     def concat_rows(self, other: Frame) -> Frame:
         a, b = self.df.schema, other.df.schema
         if a.names != b.names or [f.dataType for f in a] != [f.dataType for f in b]:
@@ -381,3 +462,8 @@ def frame_of(spark: SparkSession, rows: object, schema: object = None, order: Se
     """A frame from local rows, an Arrow table or pandas."""
     return Frame(spark.createDataFrame(rows, schema) if schema is not None else spark.createDataFrame(rows), order, partition)
 
+
+
+def empty_frame(spark: SparkSession, schema: str | T.StructType, order: Sequence[str] = (), partition: Sequence[str] = ()) -> Frame:
+    """A frame of no rows; without a schema's columns it has none."""
+    return Frame(spark.createDataFrame([], schema), order, partition)

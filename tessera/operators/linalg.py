@@ -50,19 +50,61 @@ MATRIX: dict[str, Callable] = {
 }
 
 
+#: Names of the parts of results that are several arrays.
+PARTS = {"qr": ("q", "r"), "svd": ("u", "s", "vt"), "eigh": ("values", "vectors"), "lu": ("p", "l", "u")}
+LONG = "part string, row long, col long, val double"
+
+
+def _dense(pdf: pd.DataFrame, row: str, col: str, val: str) -> np.ndarray:
+    a = np.zeros((int(pdf[row].max()) + 1, int(pdf[col].max()) + 1))
+    a[pdf[row], pdf[col]] = pdf[val]
+    return a
+
+
+def _long(key: object, op: str, found: object) -> pd.DataFrame:
+    """A number, an array or several as rows (key, part, row, col, val); a vector
+    is a column."""
+    parts = found if isinstance(found, tuple) else (found,)
+    rows = []
+    for name, x in zip(PARTS.get(op, ("",)), parts, strict=True):
+        x = np.asarray(x, float)
+        x = x.reshape(-1, 1) if x.ndim == 1 else np.atleast_2d(x)
+        i, j = np.indices(x.shape)
+        rows.append(pd.DataFrame({"key": [key] * x.size, "part": name, "row": i.ravel(), "col": j.ravel(), "val": x.ravel()}))
+    return pd.concat(rows)
+
+
 def per_group(df: DataFrame, key: str, op: str, row: str = "row", col: str = "col", val: str = "val") -> DataFrame:
-    """One matrix a group, as (key, row, col, val); ``op`` gives a number or an
-    array, returned in the same form. A group's matrix fits one worker."""
+    """One matrix a group, as (key, part, row, col, val); ``op`` gives a number,
+    an array, or several arrays, told apart by ``part``. A group's matrix fits one
+    worker; groups are spread over the cluster."""
     f = MATRIX[op]
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((pdf[row].max() + 1, pdf[col].max() + 1))
-        a[pdf[row], pdf[col]] = pdf[val]
-        out = np.atleast_2d(np.asarray(f(a), float))
-        i, j = np.indices(out.shape)
-        return pd.DataFrame({"key": k[0], "row": i.ravel(), "col": j.ravel(), "val": out.ravel()})
+        return _long(k[0], op, f(_dense(pdf, row, col, val)))
+
+    return df.groupBy(key).applyInPandas(run, f"key {dict(df.dtypes)[key]}, {LONG}")
+
+
+def per_group_with(a: DataFrame, b: DataFrame, key: str, op: str, row: str = "row", col: str = "col", val: str = "val") -> DataFrame:
+    """Operators of two matrices (solve, lstsq, solve_triangular, matmul, matvec)
+    by group; groups of one side only are left out."""
+    f = MATRIX[op]
+
+    def run(k: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return _long(k[0], op, f(_dense(x, row, col, val), _dense(y, row, col, val)))
+
+    a, b = a.join(b.select(key).distinct(), key, "left_semi"), b.join(a.select(key).distinct(), key, "left_semi")
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(run, f"key {dict(a.dtypes)[key]}, {LONG}")
+
 
-    return df.groupBy(key).applyInPandas(run, f"key {dict(df.dtypes)[key]}, row long, col long, val double")
+def tall_qr(df: DataFrame, vector: str) -> tuple[DataFrame, np.ndarray]:
+    """(rows with ``q``, R) of a tall matrix of full column rank: R is the
+    Cholesky factor of A^T A, and Q = A R^-1 is a projection of each row."""
+    r = np.linalg.cholesky(gram(df, vector)).T
+    inverse = np.linalg.inv(r)
+    dot = lambda c: F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(x)) for x in c)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("q", F.array(*(dot(inverse[:, j]) for j in range(r.shape[1])))), r
 
 
 def gram(df: DataFrame, vector: str) -> np.ndarray:

@@ -10,16 +10,15 @@ valid observations are in its window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tessera.functions.expressions import NAN, nz, sign
+from tessera.functions.expressions import NAN, ge, greatest_over, gt, le, least_over, lt, nz, sign
 from tessera.plans.options import BucketOptions, ClipOptions, EmaOptions, ExpandingOptions, LagOptions, RollingOptions
 
 MAD_SCALE = 0.6744897501960817
@@ -37,6 +36,7 @@ class Scope:
         self.wo = self.wall.orderBy(*self.order)
         self.we = self.wo.rowsBetween(Window.unboundedPreceding, 0)
         self.before = self.wo.rowsBetween(Window.unboundedPreceding, -1)
+        self.whole = self.wo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def wr(self, n: int) -> WindowSpec:
         return self.wo.rowsBetween(-(n - 1), 0)
@@ -98,7 +98,13 @@ def lead(df, scope, x, prefix, o: LagOptions = LagOptions()):
 
 def standardize(df, scope, x, prefix, o: ExpandingOptions = ExpandingOptions()):
     v, w = _x(x), scope.wall
-    df = df.withColumns({"__n": F.count(v).over(w), "__m": F.avg(v).over(w), "__s": F.stddev_pop(v).over(w), "__lo": F.min(v).over(w), "__hi": F.max(v).over(w)})
+    if not scope.key_names:  # one row of statistics, not one task of all rows
+        start = F.min_by(v, F.when(v.isNotNull(), F.struct(*scope.order)))
+        low, high = (F.when(F.isnan(start), F.lit(NAN)).otherwise(f(F.when(~F.isnan(v), v))) for f in (F.min, F.max))
+        one = df.agg(F.count(v).alias("__n"), F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s"), low.alias("__lo"), high.alias("__hi"))
+        df = df.crossJoin(F.broadcast(one))
+    else:
+        df = df.withColumns({"__n": F.count(v).over(w), "__m": F.avg(v).over(w), "__s": F.stddev_pop(v).over(w), "__lo": least_over(v, w, scope.whole), "__hi": greatest_over(v, w, scope.whole)})
     m, s, lo, hi = (F.col(c) for c in ("__m", "__s", "__lo", "__hi"))
     s = F.when(lo == hi, F.lit(0.0)).otherwise(s)
     ok = v.isNotNull() & (F.col("__n") >= o.min_periods)
@@ -112,8 +118,8 @@ def _robust_columns(v: Column, n: Column, q: Column, mad: Column, least: int, k:
     return {
         f"{word}median_centered": F.when(ok, v - med),
         f"{word}mad_zscore": F.when(ok, nz(MAD_SCALE * (v - med), mad)),
-        f"{word}iqr_outlier": F.when(ok, (v < low) | (v > high)),
-        f"{word}winsorized": F.when(ok, F.least(F.greatest(v, low), high)),
+        f"{word}iqr_outlier": F.when(ok, lt(v, low) | gt(v, high)),
+        f"{word}winsorized": F.when(ok, F.least(F.when(F.isnan(v), low).otherwise(F.greatest(v, low)), high)),
     }
 
 
@@ -142,21 +148,24 @@ def robust(df, scope, x, prefix, o: ExpandingOptions = ExpandingOptions(), iqr_m
 
 def drawdown(df, scope, x, prefix, o: ExpandingOptions = ExpandingOptions()):
     v = _x(x)
-    df = df.withColumns({"__pk": F.max(v).over(scope.we), "__n": F.count(v).over(scope.we)})
+    df = df.withColumns({"__pk": greatest_over(v, scope.we), "__n": F.count(v).over(scope.we)})
     p, ok = F.col("__pk"), v.isNotNull() & (F.col("__n") >= o.min_periods)
     return add(df, prefix, {"running_peak": F.when(ok, p), "drawdown": F.when(ok, v - p), "drawdown_pct": F.when(ok, nz(v - p, p))}, ("__pk", "__n"))
 
 
 def extrema(df, scope, x, prefix, o: ExpandingOptions = ExpandingOptions()):
     v = _x(x)
-    df = df.withColumns({"__lo": F.min(v).over(scope.we), "__hi": F.max(v).over(scope.we), "__n": F.count(v).over(scope.we), "__pl": F.min(v).over(scope.before), "__ph": F.max(v).over(scope.before)})
+    df = df.withColumns({"__lo": least_over(v, scope.we), "__hi": greatest_over(v, scope.we), "__n": F.count(v).over(scope.we), "__pl": least_over(v, scope.before), "__ph": greatest_over(v, scope.before)})
     ok = v.isNotNull() & (F.col("__n") >= o.min_periods)
-    first = F.col("__pl").isNull()
-    return add(df, prefix, {"running_low": F.when(ok, F.col("__lo")), "running_high": F.when(ok, F.col("__hi")), "new_low": F.when(ok, first | (v < F.col("__pl"))), "new_high": F.when(ok, first | (v > F.col("__ph")))}, ("__lo", "__hi", "__n", "__pl", "__ph"))
+    first = F.count(v).over(scope.before) == 0
+    return add(df, prefix, {"running_low": F.when(ok, F.col("__lo")), "running_high": F.when(ok, F.col("__hi")), "new_low": F.when(ok, first | lt(v, F.col("__pl"))), "new_high": F.when(ok, first | gt(v, F.col("__ph")))}, ("__lo", "__hi", "__n", "__pl", "__ph"))
 
 
 def _clip(v: Column, o: ClipOptions) -> tuple[Column, Column, Column]:
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(float(o.lower))), F.lit(float(o.upper)))), v < o.lower, v > o.upper
+    low, high = F.lit(float(o.lower)), F.lit(float(o.upper))
+    # NaN is neither below nor above, and is clipped to the lower bound
+    clipped = F.when(F.isnan(v), low).when(v.isNotNull(), F.least(F.greatest(v, low), high))
+    return clipped, lt(v, low), gt(v, high)
 
 
 def clip(df, scope, x, prefix, o: ClipOptions):
@@ -166,7 +175,7 @@ def clip(df, scope, x, prefix, o: ClipOptions):
 
 def threshold(df, scope, x, prefix, at: float):
     d = _x(x) - F.lit(float(at))
-    return add(df, prefix, {"distance": d, "abs_distance": F.abs(d), "above": d > 0, "below": d < 0, "at": d == 0})
+    return add(df, prefix, {"distance": d, "abs_distance": F.abs(d), "above": gt(d, F.lit(0.0)), "below": d < 0, "at": d == 0})
 
 
 def bucket(df, scope, x, prefix, o: BucketOptions = BucketOptions()):
@@ -181,39 +190,49 @@ def bucket(df, scope, x, prefix, o: BucketOptions = BucketOptions()):
 
 
 def ema(df, scope, x, prefix, o: EmaOptions = EmaOptions()):
-    """Recursive, so one ordered pass per partition key. Without a key the frame
-    is one sequence; sequences longer than a worker's memory need a key."""
-    keys, order = scope.key_names, scope.order_names
-    lone = not keys
-    if lone:
-        df, keys = df.withColumn("__one", F.lit(1)), ["__one"]
-    df = df.withColumns({"__v": F.coalesce(_x(x), F.lit(0.0)), "__valid": F.col(x).isNotNull()})
-    out = T.StructType([*df.schema.fields, T.StructField("__e", T.DoubleType()), T.StructField("__ok", T.BooleanType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        e, ok, state, seen = np.zeros(len(pdf)), np.zeros(len(pdf), bool), 0.0, 0
-        for i, (value, valid) in enumerate(zip(pdf["__v"].tolist(), pdf["__valid"].tolist(), strict=True)):
-            if valid:
-                state = value if seen == 0 else o.alpha * value + (1 - o.alpha) * state
-                seen += 1
-                e[i], ok[i] = state, seen >= o.min_periods
-        return pdf.assign(__e=e, __ok=ok)
-
-    df = df.groupBy(*keys).applyInPandas(run, out)
-    e, v = F.coalesce(F.col("__e"), F.lit(NAN)), F.col("__v")  # pandas gives NaN back as null
-    g = lambda c: F.when(F.col("__ok"), c)
-    return add(df, prefix, {"ema": g(e), "ema_residual": g(v - e), "ema_ratio": g(nz(v, e))}, ("__v", "__valid", "__e", "__ok", *(("__one",) if lone else ())))
+    """Recursive, so one ordered pass over each partition key: the sorted rows
+    stream through a task in Arrow batches, and only the state is kept. Columns
+    that are not needed pass by unchanged. Without a key the frame is one task's."""
+    df = df.withColumns({"__v": _x(x), "__new": F.row_number().over(scope.wo) == 1})
+    df = df.sortWithinPartitions(*scope.keys, *scope.order)
+    names = df.columns
+    out = T.StructType([*df.schema.fields, T.StructField("__e", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, seen = 0.0, 0
+        for b in batches:
+            e: list[float | None] = []
+            for value, new in zip(b.column("__v").to_pylist(), b.column("__new").to_pylist(), strict=True):
+                if new:
+                    seen = 0
+                if value is not None:
+                    state = value if seen == 0 else o.alpha * value + (1 - o.alpha) * state
+                    seen += 1
+                e.append(state if value is not None and seen >= o.min_periods else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(e, pa.float64())], [*names, "__e"])
+
+    df = df.mapInArrow(run, out)
+    e, v = F.col("__e"), F.col("__v")
+    g = lambda c: F.when(e.isNotNull(), c)
+    return add(df, prefix, {"ema": e, "ema_residual": g(v - e), "ema_ratio": g(nz(v, e))}, ("__v", "__new", "__e"))
 
 
 def linear_fit(df, scope, x, y, prefix, o: ExpandingOptions = ExpandingOptions(2)):
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b, w = F.when(both, _x(x)), F.when(both, _x(y)), scope.wall
-    df = df.withColumns({"__n": F.count(a).over(w), "__sx": F.sum(a).over(w), "__sy": F.sum(b).over(w), "__xx": F.sum(a * a).over(w), "__xy": F.sum(a * b).over(w)})
+    sums = {"__n": F.count(a), "__sx": F.sum(a), "__sy": F.sum(b), "__xx": F.sum(a * a), "__xy": F.sum(a * b)}
+    spread = lambda t: t.withColumns({k: c.over(w) for k, c in sums.items()})
+    if not scope.key_names:  # one row of sums, not one task of all rows
+        spread = lambda t: t.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in sums.items()))))
+    df = spread(df)
     n, sx, sy, xx, xy = (F.col(c) for c in ("__n", "__sx", "__sy", "__xx", "__xy"))
     slope = nz(n * xy - sx * sy, n * xx - sx * sx)
     df = df.withColumn("__b", slope).withColumn("__f", (sy - F.col("__b") * sx) / F.when(n > 0, n) + F.col("__b") * a).withColumn("__e", b - F.col("__f"))
-    df = df.withColumn("__s", F.sqrt(F.avg(F.col("__e") * F.col("__e")).over(w)))
+    squares = F.avg(F.col("__e") * F.col("__e"))
+    if scope.key_names:
+        df = df.withColumn("__s", F.sqrt(squares.over(w)))
+    else:
+        df = df.crossJoin(F.broadcast(df.agg(F.sqrt(squares).alias("__s"))))
     ok = both & (n >= o.min_periods)
     return add(df, prefix, {"fitted": F.when(ok, F.col("__f")), "residual": F.when(ok, F.col("__e")), "residual_zscore": F.when(ok, nz(F.col("__e"), F.col("__s"))), "slope": F.when(ok, F.col("__b"))}, ("__n", "__sx", "__sy", "__xx", "__xy", "__b", "__f", "__e", "__s"))
 
@@ -231,7 +250,7 @@ def error(df, scope, actual, predicted, prefix):
 def _crossings(df: DataFrame, scope: Scope, lhs: str, rhs: str, periods: int) -> DataFrame:
     df = df.withColumn("__d", _x(lhs) - _x(rhs)).withColumn("__l", F.lag("__d", periods).over(scope.wo))
     d, p = F.col("__d"), F.col("__l")
-    return df.withColumns({"__up": (p <= 0) & (d > 0), "__dn": (p >= 0) & (d < 0)}).withColumns({c: F.when(p.isNotNull() & d.isNotNull(), F.col(c)) for c in ("__up", "__dn")})
+    return df.withColumns({"__up": (p <= 0) & gt(d, F.lit(0.0)), "__dn": ge(p, F.lit(0.0)) & (d < 0)}).withColumns({c: F.when(p.isNotNull() & d.isNotNull(), F.col(c)) for c in ("__up", "__dn")})
 
 
 def crossover(df, scope, lhs, rhs, prefix, o: LagOptions = LagOptions()):
@@ -260,7 +279,7 @@ def change_point(df, scope, x, prefix, at_least: float, o: LagOptions = LagOptio
         raise ValueError("threshold must not be negative")
     df = df.withColumn("__p", F.lag(_x(x), o.periods).over(scope.wo))
     d = _x(x) - F.col("__p")
-    return add(df, prefix, {"change_delta": d, "change_abs_delta": F.abs(d), "change_pct": nz(d, F.col("__p")), "change_point": F.abs(d) >= at_least}, ("__p",))
+    return add(df, prefix, {"change_delta": d, "change_abs_delta": F.abs(d), "change_pct": nz(d, F.col("__p")), "change_point": ge(F.abs(d), F.lit(float(at_least)))}, ("__p",))
 
 
 def _signs(df: DataFrame, scope: Scope, x: str, periods: int) -> DataFrame:
@@ -318,7 +337,7 @@ def stats(df, scope, x, prefix, o):
     if s.rolling:
         more = {"variance": F.var_pop(v).over(s.w), "stddev": F.stddev_pop(v).over(s.w)}
     else:
-        more = {"min": F.min(v).over(s.w), "max": F.max(v).over(s.w)}
+        more = {"min": least_over(v, s.w), "max": greatest_over(v, s.w)}
     return add(df, prefix, {f"{s.word}_count": F.col("__n"), f"{s.word}_sum": g(s.sum(v)), f"{s.word}_mean": g(s.avg(v))} | {f"{s.word}_{k}": g(c) for k, c in more.items()}, ("__n",))
 
 
@@ -342,7 +361,7 @@ def moments(df, scope, x, prefix, o):
 
 def rolling_range(df, scope, x, prefix, o: RollingOptions):
     v, s = _x(x), Span(scope, o)
-    df = df.withColumns({"__n": s.count(v), "__lo": F.min(v).over(s.w), "__hi": F.max(v).over(s.w)})
+    df = df.withColumns({"__n": s.count(v), "__lo": least_over(v, s.w), "__hi": greatest_over(v, s.w)})
     ok = v.isNotNull() & (F.col("__n") >= s.least)
     lo, hi = F.col("__lo"), F.col("__hi")
     return add(df, prefix, {"rolling_low": F.when(ok, lo), "rolling_high": F.when(ok, hi), "rolling_range": F.when(ok, hi - lo), "rolling_position": F.when(ok, nz(v - lo, hi - lo))}, ("__n", "__lo", "__hi"))
@@ -350,7 +369,7 @@ def rolling_range(df, scope, x, prefix, o: RollingOptions):
 
 def normalize(df, scope, x, prefix, o):
     v, s = _x(x), Span(scope, o)
-    df = df.withColumns({"__n": s.count(v), "__m": s.avg(v), "__s": F.stddev_pop(v).over(s.w), "__lo": F.min(v).over(s.w), "__hi": F.max(v).over(s.w)})
+    df = df.withColumns({"__n": s.count(v), "__m": s.avg(v), "__s": F.stddev_pop(v).over(s.w), "__lo": least_over(v, s.w), "__hi": greatest_over(v, s.w)})
     lo, hi, ok = F.col("__lo"), F.col("__hi"), v.isNotNull() & (F.col("__n") >= s.least)
     sd = F.when(lo == hi, F.lit(0.0)).otherwise(F.col("__s"))
     w = f"{s.word}_"
@@ -377,7 +396,10 @@ def bools(df, scope, b, prefix, o):
 def rolling_drawdown(df, scope, x, prefix, o: RollingOptions):
     v, s = _x(x), Span(scope, o)
     df = df.withColumn("__at", F.row_number().over(scope.wo).cast("long"))
-    df = df.withColumns({"__n": s.count(v), "__pk": F.max(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("__at").alias("at")))).over(s.w)})
+    here = F.struct(v.alias("v"), F.col("__at").alias("at"))
+    start = F.first(F.when(v.isNotNull(), here), ignorenulls=True).over(s.w)
+    top = F.max(F.when(v.isNotNull() & ~F.isnan(v), here)).over(s.w)
+    df = df.withColumns({"__n": s.count(v), "__pk": F.when(F.isnan(start["v"]), start).otherwise(top)})
     p, ok = F.col("__pk.v"), v.isNotNull() & (F.col("__n") >= s.least)
     return add(df, prefix, {"rolling_peak": F.when(ok, p), "rolling_drawdown": F.when(ok, v - p), "rolling_drawdown_pct": F.when(ok, nz(v - p, p)), "rolling_peak_age": F.when(ok, F.col("__at") - F.col("__pk.at"))}, ("__at", "__n", "__pk"))
 
@@ -399,8 +421,8 @@ def windowed_robust(df, scope, x, prefix, o, iqr_multiplier: float = 1.5):
 def windowed_rank(df, scope, x, prefix, o, descending: bool = False):
     v, s = _x(x), Span(scope, o)
     df = df.withColumns({"__v": v, "__n": s.count(v), "__a": F.collect_list(v).over(s.w)})
-    better = F.size(F.filter("__a", lambda e: (e > F.col("__v")) if descending else (e < F.col("__v"))))
-    df = df.withColumns({"__b": better, "__e": F.size(F.filter("__a", lambda e: e == F.col("__v")))})
+    better = F.size(F.filter("__a", lambda e: gt(e, F.col("__v")) if descending else lt(e, F.col("__v"))))
+    df = df.withColumns({"__b": better, "__e": F.size(F.filter("__a", lambda e: (e == F.col("__v")) & ~F.isnan(e)))})
     n, b, e = F.col("__n"), F.col("__b"), F.col("__e")
     ok, w = F.col("__v").isNotNull() & (n >= s.least), f"{s.word}_"
     share = F.when(n <= 1, F.lit(0.0)).otherwise(b / F.when(n > 1, n - 1))
@@ -425,7 +447,7 @@ def change_point_summary(df, scope, x, prefix, at_least: float, lag_o: LagOption
     s = Span(scope, o)
     df = df.withColumn("__d", F.abs(_x(x) - F.lag(_x(x), lag_o.periods).over(scope.wo)))
     d = F.col("__d")
-    df = df.withColumns({"__n": s.count(d), "__c": s.hits(d >= at_least), "__m": s.avg(d), "__hi": F.max(d).over(s.w)})
+    df = df.withColumns({"__n": s.count(d), "__c": s.hits(ge(d, F.lit(float(at_least)))), "__m": s.avg(d), "__hi": greatest_over(d, s.w)})
     n, ok, w = F.col("__n"), F.col("__n") >= s.least, f"{s.word}_"
     return add(df, prefix, {w + "change_count": n, w + "change_point_count": F.col("__c"), w + "change_rate": F.when(ok, nz(F.col("__c").cast("double"), n)), w + "mean_abs_delta": F.when(ok, F.col("__m")), w + "max_abs_delta": F.when(ok, F.col("__hi"))}, ("__d", "__n", "__c", "__m", "__hi"))
 
@@ -450,7 +472,7 @@ def threshold_summary(df, scope, x, prefix, at: float, o):
     df = df.withColumns({"__m": s.avg(d), "__a": s.avg(F.abs(d)), "__k": F.count(v).over(s.w)})
     ok = F.col("__k") >= s.least
     df = add(df, prefix, {f"{s.word}_mean_distance": F.when(ok, F.col("__m")), f"{s.word}_mean_abs_distance": F.when(ok, F.col("__a"))}, ("__m", "__a", "__k"))
-    return _rates(df, s, prefix, v, "threshold_count", {"above_rate": d > 0, "below_rate": d < 0, "at_rate": d == 0}, ())
+    return _rates(df, s, prefix, v, "threshold_count", {"above_rate": gt(d, F.lit(0.0)), "below_rate": d < 0, "at_rate": d == 0}, ())
 
 
 def error_summary(df, scope, actual, predicted, prefix, o):

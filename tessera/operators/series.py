@@ -51,6 +51,28 @@ class Series:
     def filter(self, predicate: Column) -> Series:
         return Series(self.df.where(predicate), self.name, self.order)
 
+    def get(self, i: int):
+        """The value at position ``i`` in order; negative counts from the end."""
+        rows = (self.head(i + 1) if i >= 0 else self.tail(-i)).collect()
+        if len(rows) < (i + 1 if i >= 0 else -i):
+            raise IndexError(i)
+        return rows[-1][self.name]
+
+    def set(self, key: object, value: object) -> Series:
+        """The value where the order column is ``key``."""
+        kind = self.df.schema[self.name].dataType
+        return self._with(F.when(F.col(self.order) == F.lit(key), F.lit(value).cast(kind)).otherwise(F.col(self.name)))
+
+    def clone(self) -> Series:
+        return self
+
+    def print(self, rows: int = 20) -> None:
+        self.head(rows).show(rows, truncate=False)
+
+    def to_array(self) -> list:
+        """All values in order, on the driver."""
+        return [r[self.name] for r in self.df.orderBy(self.order).collect()]
+
     def sort(self, descending: bool = False) -> DataFrame:
         c = F.col(self.name)
         return self.df.orderBy(c.desc() if descending else c.asc(), self.order)
@@ -62,15 +84,26 @@ class Series:
         return self.df.orderBy(F.col(self.order).desc()).limit(n)
 
 
+def _with_statistics(df: DataFrame, by: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Statistics beside every row: windows by group; without groups one
+    aggregated row, so that no task holds all rows."""
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumns({k: c.over(w) for k, c in aggregates.items()})
+    return df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in aggregates.items()))))
+
+
 def zscore(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    w, v = Window.partitionBy(*by), F.col(x).cast("double")
-    sd = F.when(F.min(v).over(w) == F.max(v).over(w), F.lit(0.0)).otherwise(F.stddev_pop(v).over(w))
-    return df.withColumn(out, nz(v - F.avg(v).over(w), sd))
+    v = F.col(x).cast("double")
+    df = _with_statistics(df, by, {"__m": F.avg(v), "__s": F.stddev_pop(v), "__lo": F.min(v), "__hi": F.max(v)})
+    sd = F.when(F.col("__lo") == F.col("__hi"), F.lit(0.0)).otherwise(F.col("__s"))
+    return df.withColumn(out, nz(v - F.col("__m"), sd)).drop("__m", "__s", "__lo", "__hi")
 
 
 def normalize(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    w, v = Window.partitionBy(*by), F.col(x).cast("double")
-    return df.withColumn(out, nz(v - F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w)))
+    v = F.col(x).cast("double")
+    df = _with_statistics(df, by, {"__lo": F.min(v), "__hi": F.max(v)})
+    return df.withColumn(out, nz(v - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
 
 
 def pearsonr(df: DataFrame, x: str, y: str, out: str = "r", by: Sequence[str] = ()) -> DataFrame:
@@ -90,6 +123,34 @@ def weighted(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) -> DataFrame
     return s.select(*by, m.alias("weighted_mean"), v.alias("weighted_variance"), F.sqrt(v).alias("weighted_stddev"))
 
 
+def covariance(df: DataFrame, x: str, y: str, by: Sequence[str] = (), ddof: int = 1) -> DataFrame:
+    """``cov`` and ``corr`` of pairs that are both there; NaN where undefined."""
+    a, b = F.col("x"), F.col("y")
+    d = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy"))
+    n = F.col("n")
+    return s.select(*by, nz(F.col("c") * n, F.greatest(n - ddof, F.lit(0))).alias("cov"), nz(F.col("c"), F.sqrt(F.col("vx") * F.col("vy"))).alias("corr"))
+
+
+def weighted_quantile(df: DataFrame, x: str, w: str, q: float, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """The least x at which the cumulative weight reaches the share ``q``; rows
+    without a positive weight do not count. Equal values are summed before the
+    cumulative weights, so a group's window has its different values."""
+    a, b = F.col(x).cast("double"), F.col(w).cast("double")
+    d = df.where(a.isNotNull() & (b > 0)).groupBy(*by, a.alias("__x")).agg(F.sum(b).alias("__w"))
+    up = Window.partitionBy(*by).orderBy("__x")
+    d = d.withColumns({"__c": F.sum("__w").over(up), "__t": F.sum("__w").over(Window.partitionBy(*by))})
+    return d.where(F.col("__c") >= F.lit(float(q)) * F.col("__t")).groupBy(*by).agg(F.min("__x").alias(out))
+
+
+def weighted_median(df: DataFrame, x: str, w: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    return weighted_quantile(df, x, w, 0.5, out, by)
+
+
+def unique_with_counts(df: DataFrame, x: str) -> DataFrame:
+    return df.groupBy(F.col(x).alias("value")).agg(F.count("*").alias("count"))
+
+
 def bincount(df: DataFrame, x: str, n: int, weight: str | None = None) -> DataFrame:
     """Occurrences (or weights) of 0 .. n - 1."""
     part = df.groupBy(F.col(x).cast("long").alias("bin")).agg((F.sum(weight) if weight else F.count("*")).alias("c"))

@@ -107,6 +107,19 @@ class Sparse:
         part = self.df.groupBy(F.col(axis).alias("i")).agg(agg.alias("v"))
         return every.join(part, "i", "left").select("i", F.coalesce("v", F.lit(0)).alias("v"))
 
+    def _statistics(self, axis: str, n: int) -> DataFrame:
+        v = F.col("val")
+        part = self.df.groupBy(F.col(axis).alias("i")).agg(F.count("*").alias("nnz"), F.sum(v).alias("sum"), F.sum(F.abs(v)).alias("abs_sum"), F.sqrt(F.sum(v * v)).alias("norm"))
+        every = self.df.sparkSession.range(n).select(F.col("id").alias("i"))
+        return every.join(part, "i", "left").select("i", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nnz", "sum", "abs_sum", "norm")))
+
+    def row_statistics(self) -> DataFrame:
+        """(i, nnz, sum, abs_sum, norm) of every row, in one pass."""
+        return self._statistics("row", self.rows)
+
+    def column_statistics(self) -> DataFrame:
+        return self._statistics("col", self.cols)
+
     def row_nnz(self) -> DataFrame:
         return self._by("row", F.count("*"), self.rows)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import series
 from tessera.operators.arrays import BINARY, LOSSES, UNARY, Coo, einsum, vec
-from tessera.operators.linalg import gram, least_squares
+from tessera.operators.linalg import gram, least_squares, per_group, per_group_with
 from tessera.operators.sparse import Sparse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +95,7 @@ def array_order(spark, sf_dir):
     )
 
 
-@query(f"""with s as (select vec_id, list_transform(a[1:20], lambda x: floor(x * 4)::bigint) as a, list_transform(a[21:40], lambda x: floor(x * 4)::bigint) as b from {_V})
+@query(f"""with s as (select vec_id, list_transform(a[1:32], lambda x: floor(x * 4)::bigint) as a, list_transform(a[33:64], lambda x: floor(x * 4)::bigint) as b from {_V})
 select vec_id, list_sort(list_distinct(a)) as u, list_sort(list_distinct(list_concat(a, b))) as un, list_sort(list_distinct(list_intersect(a, b))) as i, list_sort(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))) as d,
 len(list_filter(a, lambda x: list_contains(b, x))) as n from s""")
 def array_sets(spark, sf_dir):
@@ -122,13 +122,13 @@ def losses(spark, sf_dir):
 
 # --- coordinate arrays: (vec_id, dimension) of the vectors ---
 
-_M = "(select vec_id as i0, unnest(range(64)) as i1, unnest(embedding)::double as v from embeddings where vec_id < 200)"
+_M = "(select vec_id as i0, unnest(range(64)) as i1, unnest(embedding)::double as v from embeddings)"
 
 
 def _matrix(spark, sf_dir) -> Coo:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     n = e.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
-    return Coo(e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (n, 64))
+    return Coo(e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (n, 64), True)
 
 
 @query(f"select a.i1 as i0, b.i1 as i1, round(sum(a.v * b.v), {D}) as v from {_M} a join {_M} b on a.i0 = b.i0 group by all")
@@ -143,7 +143,7 @@ def einsum_rowwise(spark, sf_dir):
     return einsum("ij,ij->i", m, m).df.select("i0", _r("v").alias("v"))
 
 
-@query(f"select (i0 * 64 + i1) // 320 as i0, (i0 * 64 + i1) % 320 as i1, v from (select 199 - i0 as i0, (i1 + 3) % 64 as i1, v from {_M})")
+@query(f"select (i0 * 64 + i1) // 320 as i0, (i0 * 64 + i1) % 320 as i1, v from (select (select max(vec_id) from embeddings) - i0 as i0, (i1 + 3) % 64 as i1, v from {_M})")
 def coo_transforms(spark, sf_dir):
     m = _matrix(spark, sf_dir)
     # rows of 320 hold five of 64: the last one is filled up, so any count will do
@@ -155,12 +155,9 @@ def coo_narrow_triu(spark, sf_dir):
     return _matrix(spark, sf_dir).narrow(0, 10, 50).triu(2).df.select("i0", "i1", "v")
 
 
-@query(f"select i1, round(sum(v), {D}) as s, round(sum(v) / 200, {D}) as m, min(v) as lo, max(v) as hi, arg_min(i0 * 64 + i1, v) as am, round(sqrt(sum(v * v)), {D}) as n from {_M} group by i1")
+@query(f"select i1, round(sum(v), {D}) as s, round(avg(v), {D}) as m, min(v) as lo, max(v) as hi, arg_min(i0 * 64 + i1, v) as am, round(sqrt(sum(v * v)), {D}) as n from {_M} group by i1")
 def coo_reductions(spark, sf_dir):
-    m, out = _matrix(spark, sf_dir), None
-    for op, name in (("sum", "s"), ("mean", "m"), ("min", "lo"), ("max", "hi"), ("argmin", "am"), ("norm", "n")):
-        one = m.reduce(op, [0]).withColumnRenamed("v", name)
-        out = one if out is None else out.join(one, "i1")
+    out = _matrix(spark, sf_dir).reduce_many({"s": "sum", "m": "mean", "lo": "min", "hi": "max", "am": "argmin", "n": "norm"}, [0])
     return out.withColumns({c: _r(c) for c in ("s", "m", "n")})
 
 
@@ -174,10 +171,108 @@ def coo_cumulative_softmax(spark, sf_dir):
 @query(f"with b as (select i1, avg(v) as v from {_M} group by i1) select a.i0, a.i1, round(a.v - b.v, {D}) as v from {_M} a join b using (i1)")
 def coo_broadcast(spark, sf_dir):
     m = _matrix(spark, sf_dir)
-    mean = Coo(m.reduce("mean", [0]).select(F.lit(0).cast("long").alias("i0"), "i1", "v"), (1, 64))
+    mean = Coo(m.reduce("mean", [0]).select(F.lit(0).cast("long").alias("i0"), "i1", "v"), (1, 64), True)
     return m.binary(mean, "sub").df.select("i0", "i1", _r("v").alias("v"))
 
 
+@query(f"""select i1, round(min(w), {D}) as lo, round(max(w), {D}) as hi, round(var_pop(w), {D}) as va, round(sum(exp(w)), {D}) as e from (select i0, i1, case when i1 - i0 >= 3 then v else 0 end as w from {_M}) group by i1""")
+def coo_absent_elements(spark, sf_dir):
+    """Elements that a triangle leaves out count as zeros."""
+    t = _matrix(spark, sf_dir).triu(3)
+    out = t.reduce_many({"lo": "min", "hi": "max", "va": "variance"}, [0]).join(t.map("exp").reduce("sum", [0]).withColumnRenamed("v", "e"), "i1")
+    return out.select("i1", *(_r(c).alias(c) for c in ("lo", "hi", "va", "e")))
+
+
+@query(f"""with u as (select i0 % 7 as i0, i1, sum(v) as u from {_M} where i0 % 3 = 1 group by all), g as (select i0, 63 - i1 as i1, v from {_M} where i1 % 2 = 1)
+select m.i0, m.i1, round(m.v + coalesce(u, 0), {D}) as s, g.v as g, case when m.v > 0 then -1.0::double else m.v end as f, case when m.v > 0 then m.v else -m.v end as w, t.v as t
+from {_M} m left join u using (i0, i1) left join g using (i0, i1) join {_M} t on t.i0 = m.i0 and t.i1 = (m.i1 * 5 + m.i0) % 64""")
+def coo_indexing(spark, sf_dir):
+    """Scatter, gather, masked fill, where and take along an axis."""
+    m = _matrix(spark, sf_dir)
+    scattered = m.scatter(m.df.where("i0 % 3 = 1").selectExpr("i0 % 7 as i0", "i1", "v"))
+    odd = spark.range(32).selectExpr("62 - 2 * id as at", "2 * id + 1 as index")
+    mask = Coo(m.df.withColumn("v", (F.col("v") > 0).cast("double")), m.shape, True)
+    along = Coo(m.df.withColumn("v", ((F.col("i1") * 5 + F.col("i0")) % 64).cast("double")), m.shape, True)
+    parts = {"s": scattered, "f": m.masked_fill(mask, -1.0), "w": mask.where(m, m.scalar("mul", -1.0)), "t": m.take_along_axis(1, along)}
+    out = m.gather(1, odd).df.withColumnRenamed("v", "g")
+    for name, part in parts.items():
+        out = part.df.withColumnRenamed("v", name).join(out, ["i0", "i1"], "left")
+    return out.withColumn("s", _r("s")).select("i0", "i1", "s", "g", "f", "w", "t")
+
+
+@query(f"""select i0 % 5 as b, a.i1 as i, c.i1 as j, round(sum(a.v * c.v), 4) as v from {_M} a join {_M} c using (i0) group by all""")
+def coo_batched_products(spark, sf_dir):
+    """A batch of tall blocks, each with itself; the blocks are rows by number."""
+    m = _matrix(spark, sf_dir)
+    n = -(-m.shape[0] // 5)
+    blocks = Coo(m.df.select((F.col("i0") % 5).alias("i0"), F.floor(F.col("i0") / 5).cast("long").alias("i1"), F.col("i1").alias("i2"), "v"), (5, n, 64))
+    return blocks.transpose([0, 2, 1]).bmm(blocks).df.select(F.col("i0").alias("b"), F.col("i1").alias("i"), F.col("i2").alias("j"), F.round("v", 4).alias("v"))
+
+
+@query(f"select i0 * 2 + j as i0, i1, v from {_M}, range(2) t(j)")
+def coo_repeat(spark, sf_dir):
+    return _matrix(spark, sf_dir).repeat(2, 0).df.select("i0", "i1", "v")
+
+
+@query(f"select 63 - i1 as i0, i0 as i1, v from {_M}")
+def coo_rot90(spark, sf_dir):
+    return _matrix(spark, sf_dir).rot90().df.select("i0", "i1", "v")
+
+
+@query(f"select i0, k as i1, i1 as i2, case when k = 0 then v else -v end as v from {_M}, range(2) t(k)")
+def coo_stack(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return m.stack(m.map("neg"), 1).df.select("i0", "i1", "i2", "v")
+
+
+# --- rows: indexing, losses and statistics of vectors ---
+
+@query(f"""select vec_id, round(list_sum(list_transform(range(64), lambda i: (i + 1) * a[(i * 5) % 64 + 1])), {D}) as g, round(list_sum(list_transform(range(64), lambda i: (i + 1) * case when i = 3 then 9 when i = 60 then 8 else a[i + 1] end)), {D}) as p,
+round(list_sum(list_transform(range(64), lambda i: (i + 1) * (a[i + 1] + case when i = 3 then 3 when i = 60 then 4 else 0 end))), {D}) as sa, round(list_sum(list_transform(a, lambda x: case when x < 0 then 0.5 else x end)), {D}) as mf, round(list_sum(list_transform(range(64), lambda i: (i + 1) * case when a[i + 1] > 0 then a[i + 1] else b[i + 1] end)), {D}) as w,
+round((a[64] - a[63]) + (a[2] - a[1]) * 2 + (a[33] - a[31]) / 2, {D}) as gr, round(list_sum(a) - (a[1] + a[64]) / 2, {D}) as tr, a[1] as r0, a[2] as r3, a[33] as h0 from {_V}""")
+def array_indexing(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * 5 % 64)
+    ints, nums = (lambda *x: F.array(*(F.lit(i) for i in x))), (lambda *x: F.array(*(F.lit(float(i)) for i in x)))
+    weighted = lambda c: _r(vec.sum(F.transform(c, lambda x, i: (i + 1) * x)))
+    grad = F.col("grad")
+    df = _vectors(spark, sf_dir).withColumn("grad", vec.gradient(a))
+    return df.select(
+        "vec_id", weighted(vec.gather(a, at)).alias("g"), weighted(vec.put(a, ints(3, 60, 3), nums(7, 8, 9))).alias("p"), weighted(vec.scatter_add(a, ints(3, 60, 3), nums(1, 4, 2))).alias("sa"),
+        _r(vec.sum(vec.masked_fill(a, F.transform(a, lambda x: x < 0), 0.5))).alias("mf"), weighted(vec.where(F.transform(a, lambda x: x > 0), a, b)).alias("w"),
+        _r(grad[63] + grad[0] * 2 + grad[31]).alias("gr"), _r(vec.trapezoid(a)).alias("tr"), vec.repeat(a, 3)[2].alias("r0"), vec.repeat(a, 3)[3].alias("r3"), vec.split(a, 2)[1][0].alias("h0"),
+    )
+
+
+_C = "(vec_id % 64)"
+
+
+@query(f"""with s as (select vec_id, a, b, list_max(a) as m, {_C} as c from {_V}), t as (select *, m + ln(list_sum(list_transform(a, lambda x: exp(x - m)))) as z, list_reduce(list_transform(range(64), lambda i: a[i + 1] * b[i + 1]), lambda x, y: x + y) / (list_reduce(list_transform(a, lambda x: x * x), lambda x, y: x + y)) as cs from s)
+select vec_id, round(z - a[c + 1], {D}) as ce, round(case when c % 2 = 0 then 1 - cs else greatest(cs - 0.1, 0) end, {D}) as emb, round(greatest(sqrt(list_sum(list_transform(range(64), lambda i: power(a[i + 1] - b[i + 1], 2)))) - 0 + 1, 0), {D}) as tri,
+round(list_sum(list_transform(range(64), lambda i: case when i = c then 0 else greatest(1 - a[c + 1] + a[i + 1], 0) end)) / 64, {D}) as mm, round(a[1] / (1 + exp(-a[33])), {D}) as g0 from t""")
+def array_losses(spark, sf_dir):
+    a, b, c = F.col("a"), F.col("b"), F.col("vec_id") % 64
+    t = F.when(c % 2 == 0, 1).otherwise(-1)
+    return _vectors(spark, sf_dir).select(
+        "vec_id", _r(vec.cross_entropy(a, c)).alias("ce"), _r(vec.cosine_embedding(a, b, t, 0.1)).alias("emb"), _r(vec.triplet(a, b, a)).alias("tri"), _r(vec.multi_margin(a, c)).alias("mm"), _r(vec.glu(a)[0]).alias("g0")
+    )
+
+
+@query(f"""with s as (select vec_id, list_transform(range(64), lambda i: case when (i + vec_id) % 5 = 0 then 'NaN'::double else a[i + 1] end) as a from {_V}), n as (select vec_id, a, list_filter(a, lambda x: not isnan(x)) as f from s)
+select vec_id, round(list_sum(f), {D}) as s, round(list_avg(f), {D}) as m, round(list_var_pop(f), {D}) as v, round(list_stddev_pop(f), {D}) as sd, list_min(f) as lo, list_max(f) as hi, round(list_median(f), {D}) as md, round(list_aggregate(f, 'quantile_cont', 0.3), {D}) as q, list_position(a, list_max(f)) - 1 as am from n""")
+def array_nan_reductions(spark, sf_dir):
+    gap = F.transform("a", lambda x, i: F.when((i + F.col("vec_id")) % 5 == 0, F.lit(float("nan"))).otherwise(x))
+    df = _vectors(spark, sf_dir).select("vec_id", gap.alias("a"))
+    r = lambda op, **k: _r(vec.nan_reduce(F.col("a"), op, **k))
+    return df.select("vec_id", r("sum").alias("s"), r("mean").alias("m"), r("variance").alias("v"), r("stddev").alias("sd"), vec.nan_reduce(F.col("a"), "min").alias("lo"), vec.nan_reduce(F.col("a"), "max").alias("hi"), r("median").alias("md"), r("quantile", q=0.3).alias("q"), vec.nan_reduce(F.col("a"), "argmax").cast("long").alias("am"))
+
+
+@query(f"""select vec_id, k, round(sum(x * cos(2 * pi() * k * i / 64)), 4) as re, round(-sum(x * sin(2 * pi() * k * i / 64)), 4) as im from (select vec_id, unnest(range(64)) as i, unnest(a) as x from {_V}), range(33) t(k) group by all""")
+def array_rfft(spark, sf_dir):
+    f = _vectors(spark, sf_dir).select("vec_id", F.posexplode(vec.rfft(F.col("a"))).alias("k", "c"))
+    return f.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.col("c.re") + 0.0, 4).alias("re"), F.round(F.col("c.im") + 0.0, 4).alias("im"))
+
+
 # --- sparse: customers by nation-like columns, values from orders ---
 
 _SP = "(select o_custkey % 150 as row, o_orderkey % 97 as col, sum(floor(o_totalprice / 1000)) as val from orders group by all)"
@@ -200,7 +295,7 @@ def sparse_transpose_matvec(spark, sf_dir):
     return _sparse(spark, sf_dir).transpose_matvec(x)
 
 
-@query(f"select a.col as row, b.col as col, sum(a.val * b.val) as val from {_SP} a join {_SP} b on a.row = b.row where a.col < 20 and b.col < 20 group by all")
+@query(f"select a.col as row, b.col as col, sum(a.val * b.val) as val from {_SP} a join {_SP} b on a.row = b.row group by all")
 def sparse_matmat(spark, sf_dir):
     s = _sparse(spark, sf_dir)
     return s.transpose_matmat(s).df
@@ -208,18 +303,12 @@ def sparse_matmat(spark, sf_dir):
 
 @query(f"""select r as i, count(val) as nnz, coalesce(sum(val), 0) as s, coalesce(sum(abs(val)), 0) as a, round(coalesce(sqrt(sum(val * val)), 0), {D}) as n from range(150) t(r) left join {_SP} on row = r group by all""")
 def sparse_row_statistics(spark, sf_dir):
-    s = _sparse(spark, sf_dir)
-    out = s.row_nnz().withColumnRenamed("v", "nnz")
-    for part, name in ((s.row_sums(), "s"), (s.row_abs_sums(), "a"), (s.row_norms(), "n")):
-        out = out.join(part.withColumnRenamed("v", name), "i")
-    return out.withColumn("n", _r("n"))
+    return _sparse(spark, sf_dir).row_statistics().select("i", "nnz", F.col("sum").alias("s"), F.col("abs_sum").alias("a"), _r("norm").alias("n"))
 
 
 @query(f"""select r as i, count(val) as nnz, coalesce(sum(val), 0) as s, round(coalesce(sqrt(sum(val * val)), 0), {D}) as n from range(97) t(r) left join {_SP} on col = r group by all""")
 def sparse_column_statistics(spark, sf_dir):
-    s = _sparse(spark, sf_dir)
-    out = s.column_nnz().withColumnRenamed("v", "nnz").join(s.column_sums().withColumnRenamed("v", "s"), "i")
-    return out.join(s.column_norms().withColumnRenamed("v", "n"), "i").withColumn("n", _r("n"))
+    return _sparse(spark, sf_dir).column_statistics().select("i", "nnz", F.col("sum").alias("s"), _r("norm").alias("n"))
 
 
 @query(f"""select count(*) as nnz, round(count(*) / (150 * 97)::double, 9) as density, sum(val) as total, round(sqrt(sum(val * val)), {D}) as frobenius, coalesce(sum(case when row = col then val end), 0) as trace, max(abs(row - col)) as bandwidth from {_SP}""")
@@ -281,6 +370,54 @@ def stats_weighted(spark, sf_dir):
     return series.weighted(_events(spark, sf_dir), "x", "y", ["user_id"]).select("user_id", F.round("weighted_mean", 6).alias("weighted_mean"))
 
 
+@query(f"""select user_id, round(covar_samp(x, y), 6) as cov, round(case when stddev_pop(x) * stddev_pop(y) = 0 then 'NaN'::double else corr(x, y) end, 6) as corr from {_E} group by user_id having count(*) > 1""")
+def stats_covariance(spark, sf_dir):
+    many = _events(spark, sf_dir)
+    some = many.groupBy("user_id").count().where("count > 1").select("user_id")
+    return series.covariance(many.join(some, "user_id"), "x", "y", ["user_id"]).select("user_id", F.round("cov", 6).alias("cov"), F.round("corr", 6).alias("corr"))
+
+
+@query(f"""with w as (select user_id, x, sum(y) as y from {_E} where y > 0 group by all), c as (select *, sum(y) over (partition by user_id order by x) as c, sum(y) over (partition by user_id) as t from w) select user_id, min(x) as m from c where c >= 0.5 * t group by user_id""")
+def stats_weighted_median(spark, sf_dir):
+    return series.weighted_median(_events(spark, sf_dir), "x", "y", "m", ["user_id"])
+
+
+@query(f"select y as value, count(*) as count from {_E} group by y")
+def unique_with_counts(spark, sf_dir):
+    return series.unique_with_counts(_events(spark, sf_dir), "y")
+
+
+# --- dense matrices of two by two, one a user: [[p, q], [q, s]], and a vector ---
+
+_TWO = f"(select user_id, count(*) + sum(x * x) as p, sum(x * y) as q, count(*) + sum(y * y) as s, sum(x) as u, sum(y) as w from {_E} group by user_id)"
+
+
+def _two(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    n = F.count("*")
+    m = e.groupBy("user_id").agg((n + F.sum(F.col("x") * F.col("x"))).alias("p"), F.sum(F.col("x") * F.col("y")).alias("q"), (n + F.sum(F.col("y") * F.col("y"))).alias("s"), F.sum("x").alias("u"), F.sum("y").alias("w"))
+    cell = lambda i, j, c: F.struct(F.lit(i).alias("row"), F.lit(j).alias("col"), F.col(c).cast("double").alias("val"))
+    long = lambda *cells: m.select("user_id", F.explode(F.array(*cells)).alias("c")).select("user_id", "c.*")
+    return long(cell(0, 0, "p"), cell(0, 1, "q"), cell(1, 0, "q"), cell(1, 1, "s")), long(cell(0, 0, "u"), cell(1, 0, "w"))
+
+
+@query(f"""select user_id, round((u * s - w * q) / (p * s - q * q), 6) as x0, round((w * p - u * q) / (p * s - q * q), 6) as x1, round(p * s - q * q, 2) as det, round(sqrt(p), 6) as c00, round(q / sqrt(p), 6) as c10, round(s / (p * s - q * q), 9) as i00,
+round((p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * q), 3) as e0, round((p + s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q), 3) as e1, round(sqrt(p * p + q * q), 4) as r00 from {_TWO}""")
+def linalg_by_group(spark, sf_dir):
+    """Factorizations and solutions of a small matrix per group."""
+    a, b = _two(spark, sf_dir)
+    at = lambda df, name, where, digits, absolute=False: df.where(where).select(F.col("key").alias("user_id"), F.round(F.abs("val") if absolute else F.col("val"), digits).alias(name))
+    x, e, c = per_group_with(a, b, "user_id", "solve"), per_group(a, "user_id", "eigh"), per_group(a, "user_id", "cholesky")
+    parts = [
+        at(x, "x0", "row = 0", 6), at(x, "x1", "row = 1", 6), at(per_group(a, "user_id", "det"), "det", "true", 2), at(c, "c00", "row = 0 and col = 0", 6), at(c, "c10", "row = 1 and col = 0", 6),
+        at(per_group(a, "user_id", "inverse"), "i00", "row = 0 and col = 0", 9), at(e, "e0", "part = 'values' and row = 0", 3), at(e, "e1", "part = 'values' and row = 1", 3), at(per_group(a, "user_id", "qr"), "r00", "part = 'r' and row = 0 and col = 0", 4, True),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "user_id")
+    return out
+
+
 @query(f"select r as bin, count(y) as count from range(20) t(r) left join {_E} on y = r group by all")
 def bincount(spark, sf_dir):
     return series.bincount(_events(spark, sf_dir), "y", 20)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import linalg
-from tessera.operators.arrays import Coo, einsum, vec
+from tessera.operators.arrays import UNARY, Coo, einsum, vec
+from tessera.operators.series import Series
 from tessera.operators.sparse import Sparse
 from tessera.sources import io
 
@@ -63,6 +64,105 @@ def test_linalg(spark):
     np.testing.assert_allclose(linalg.tall_singular_values(tall, "v")[:2], np.linalg.svd(A, compute_uv=False)[:2])
 
 
+def test_factorizations_by_group(spark):
+    rng = np.random.default_rng(2)
+    mats = {k: rng.normal(size=(4, 4)) for k in "abc"}
+    spd = {k: m @ m.T + np.eye(4) for k, m in mats.items()}
+    df = spark.createDataFrame([(k, i, j, float(m[i, j])) for k, m in spd.items() for i in range(4) for j in range(4)], "k string, row long, col long, val double")
+
+    def parts(op):
+        found = {}
+        for r in linalg.per_group(df, "k", op).collect():
+            found.setdefault((r["key"], r["part"]), {})[r["row"], r["col"]] = r["val"]
+        return {key: np.array([[cells[i, j] for j in range(max(c for _, c in cells) + 1)] for i in range(max(r for r, _ in cells) + 1)]) for key, cells in found.items()}
+
+    for op, back in {"qr": lambda p, k: p[k, "q"] @ p[k, "r"], "svd": lambda p, k: p[k, "u"] @ np.diag(p[k, "s"][:, 0]) @ p[k, "vt"], "eigh": lambda p, k: p[k, "vectors"] @ np.diag(p[k, "values"][:, 0]) @ p[k, "vectors"].T, "lu": lambda p, k: p[k, "p"].T @ p[k, "l"] @ p[k, "u"], "cholesky": lambda p, k: p[k, ""] @ p[k, ""].T}.items():
+        found = parts(op)
+        for k, m in spd.items():
+            np.testing.assert_allclose(back(found, k), m, atol=1e-9)
+    for op, f in {"inverse": np.linalg.inv, "pinv": np.linalg.pinv, "trace": np.trace, "cond": np.linalg.cond, "matrix_rank": np.linalg.matrix_rank, "eigvalsh": np.linalg.eigvalsh, "singular_values": lambda m: np.linalg.svd(m, compute_uv=False), "matrix_norm": np.linalg.norm}.items():
+        found = parts(op)
+        for k, m in spd.items():
+            np.testing.assert_allclose(found[k, ""].ravel(), np.ravel(f(m)), rtol=1e-6)
+    b = spark.createDataFrame([(k, i, 0, float(i)) for k in "ab" for i in range(4)], "k string, row long, col long, val double")
+    for op in ("solve", "lstsq"):
+        x = {(r["key"], r["row"]): r["val"] for r in linalg.per_group_with(df, b, "k", op).collect()}
+        assert {k for k, _ in x} == {"a", "b"}
+        np.testing.assert_allclose([x["a", i] for i in range(4)], np.linalg.solve(spd["a"], np.arange(4.0)), rtol=1e-6)
+    a = rng.normal(size=(300, 3))
+    rows, r = linalg.tall_qr(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "i long, v array<double>"), "v")
+    q = np.array([x["q"] for x in rows.orderBy("i").collect()])
+    np.testing.assert_allclose(q @ r, a, atol=1e-8)
+    np.testing.assert_allclose(q.T @ q, np.eye(3), atol=1e-8)
+
+
+def test_absent_elements_are_zeros(spark):
+    a = np.array([[0.0, 1, -2], [2, 0, 0]])
+    i, j = np.nonzero(a)
+    c = Coo(spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j, strict=True)], "i0 long, i1 long, v double"), a.shape)
+    np.testing.assert_allclose(c.map("exp").to_numpy(), np.exp(a))
+    for op, f in {"min": np.min, "max": np.max, "variance": np.var, "prod": np.prod, "median": np.median, "argmin": np.argmin, "argmax": np.argmax, "mean": np.mean, "all": np.all, "any": np.any}.items():
+        assert float(c.reduce(op).first()[0]) == pytest.approx(float(f(a))), op
+    np.testing.assert_allclose(c.cumulative("min", 1).to_numpy(), np.minimum.accumulate(a, 1))
+    np.testing.assert_allclose(c.softmax(0).to_numpy(), np.exp(a) / np.exp(a).sum(0))
+    np.testing.assert_allclose(c.scalar("add", 1.0).to_numpy(), a + 1)
+    np.testing.assert_allclose(c.binary(Coo.of(spark, np.array([[1.0, 2, 3]])), "sub").to_numpy(), a - [[1, 2, 3]])
+    np.testing.assert_allclose(c.binary(c.map("neg"), "maximum").to_numpy(), np.abs(a))
+
+
+def test_transforms_and_products_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    a, b, t = rng.normal(size=(3, 4)), rng.normal(size=(4, 2)), rng.normal(size=(2, 3, 4))
+    x, y, z = Coo.of(spark, a), Coo.of(spark, b), Coo.of(spark, t)
+    same = lambda got, want: (np.testing.assert_allclose(got.to_numpy(), want, atol=1e-9), tuple(got.shape) == np.shape(want) or pytest.fail(str(got.shape)))
+    same(x.repeat(2, 1), a.repeat(2, 1))
+    same(x.tile(3, 0), np.tile(a, (3, 1)))
+    same(x.rot90(), np.rot90(a))
+    same(x.rot90(3), np.rot90(a, 3))
+    same(x.stack(x.map("neg"), 1), np.stack([a, -a], 1))
+    same(z.flatten(1), t.reshape(2, -1))
+    same(x.expand_dims(1).squeeze(), a)
+    same(x.split(2, 1)[1], a[:, 2:])
+    same(x.fill_diagonal(9.0), np.array([[9.0 if i == j else a[i, j] for j in range(4)] for i in range(3)]))
+    same(x.matmul_add(y, Coo.full(spark, (3, 2), 1.0)), a @ b + 1)
+    same(z.tensordot(x, 2), np.tensordot(t, a, 2))
+    same(z.contract(x, [1], [0]), np.tensordot(t, a, ([1], [0])))
+    same(z.bmm(z.transpose([0, 2, 1])), t @ t.transpose(0, 2, 1))
+    same(x.take_along_axis(1, Coo.of(spark, np.argsort(a, 1))), np.sort(a, 1))
+    same(Coo.linspace(spark, 1, 3, 5), np.linspace(1, 3, 5))
+    same(Coo.geomspace(spark, 1, 100, 3), np.geomspace(1, 100, 3))
+    for got, want in zip(Coo.meshgrid(Coo.arange(spark, 2), Coo.arange(spark, 3)), np.meshgrid([0, 1], [0, 1, 2], indexing="ij"), strict=True):
+        same(got, want)
+    upd = spark.createDataFrame([(0, 0, 2.0), (0, 0, 3.0), (2, 1, -1.0)], "i0 long, i1 long, v double")
+    for op, f in (("add", np.add), ("mul", np.multiply), ("max", np.maximum)):
+        want = a.copy()
+        for r in [(0, 0, 5.0 if op == "add" else 6.0 if op == "mul" else 3.0), (2, 1, -1.0)]:
+            want[r[0], r[1]] = f(want[r[0], r[1]], r[2])
+        same(x.scatter(upd, op), want)
+    mask = Coo.of(spark, (a > 0).astype(float))
+    same(x.masked_fill(mask, 7.0), np.where(a > 0, 7, a))
+    assert x.masked_select(mask).count() == (a > 0).sum() == mask.nonzero().count()
+
+
+def test_activations_far_out(spark):
+    df = spark.createDataFrame([(800.0,), (-800.0,), (float("nan"),), (0.5,)], "x double")
+    got = df.select(*(UNARY[k](F.col("x")).alias(k) for k in ("softplus", "logsigmoid", "relu6", "hardtanh", "hardsigmoid", "hardswish", "mish"))).collect()
+    assert (got[0]["softplus"], got[1]["softplus"], got[1]["logsigmoid"], got[0]["logsigmoid"]) == (800.0, 0.0, -800.0, 0.0)
+    assert all(np.isnan(v) for v in got[2]) and got[0]["relu6"] == 6 and got[0]["mish"] == 800
+
+
+def test_series(spark):
+    s = Series(spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, None, 2.0])], "rid long, x double"), "x", "rid")
+    assert (s.sum(), s.mean(), s.min(), s.max()) == (6.0, 2.0, 1.0, 3.0)
+    assert s.add_scalar(1).to_array() == [4.0, 2.0, None, 3.0] and s.sub_scalar(1).mul_scalar(2).to_array() == [4.0, 0.0, None, 2.0]
+    assert s.div_scalar(0).to_array()[0] == float("inf") and s.clone() is s
+    assert s.get(0) == 3.0 and s.get(-1) == 2.0 and s.set(1, 9).to_array() == [3.0, 9.0, None, 2.0]
+    assert [r["x"] for r in s.sort(descending=True).collect()][:2] == [3.0, 2.0] and s.filter(F.col("x") > 1).to_array() == [3.0, 2.0]
+    assert [r["rid"] for r in s.head(2).collect()] == [0, 1] and [r["rid"] for r in s.tail(1).collect()] == [3]
+    with pytest.raises(IndexError):
+        s.get(9)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("city,sales,units,ok\nhz,2.0,1,true\nbj,3.5,2,false\n")
     df = io.read_csv(spark, str(tmp_path / "t.csv"))

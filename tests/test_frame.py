@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from tessera.operators.frame import frame_of
+from tessera.operators.frame import empty_frame, frame_of
 from tessera.plans.options import AsofOptions, LagOptions, RollingOptions, SortOptions
 
 
@@ -95,3 +95,33 @@ def test_group_by_skips_null_keys_and_values(spark):
     out = f.group_by_stats("k", "v", "s").collect()
     assert [(r["k"], r["s_count"], r["s_sum"], r["s_mean"]) for r in out] == [(1, 1, 2, 2.0)]
     assert dict(f.group_by_sum("k", "v", "s").dtypes)["s"] == "int"
+
+
+def test_nan_scalars_filter_as_ieee_has_it(spark):
+    f = frame_of(spark, [(0, 1.0), (1, float("nan")), (2, None)], "rid int, x double")
+    kept = {op: [r["rid"] for r in f.filter_column_scalar("x", float("nan"), op).collect()] for op in ("eq", "ne", "lt", "le", "gt", "ge")}
+    assert kept == {"eq": [], "ne": [0, 1], "lt": [], "le": [], "gt": [], "ge": []}
+
+
+def test_join_names_stay_apart(spark):
+    a = frame_of(spark, [(0, 1, 2, 3)], "rid int, k int, v int, v_right int")
+    b = frame_of(spark, [(0, 1, 9)], "rid int, k int, v int")
+    assert a.inner_join(b, "k", "k").df.columns == ["rid", "k", "v", "v_right", "rid_right", "v_right_right"]
+
+
+def test_masks_matrices_and_sinks(spark, tmp_path, capsys):
+    f = frame_of(spark, [(2, 2.0, 5), (0, 0.5, None), (1, 1.0, 4)], "rid int, x double, n int")
+    assert [r["rid"] for r in f.filter([True, False, True]).collect()] == [0, 2]
+    with pytest.raises(ValueError):
+        f.filter([True])
+    m = f.to_matrix().to_numpy()
+    assert m[:, 0].tolist() == [0.5, 1.0, 2.0] and m[1:, 1].tolist() == [4.0, 5.0] and m[0, 1] != m[0, 1]
+    f.write_parquet(str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+    f.write_csv(str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
+    assert empty_frame(spark, "rid int, x double", ["rid"]).shape() == (0, 2)
+    assert f.column("x").to_array() == [0.5, 1.0, 2.0]
+    at = spark.createDataFrame([(0, 2), (1, 0)], "at int, index int")
+    assert [r["rid"] for r in f.take(at).orderBy("at").collect()] == [2, 0]
+    f.print()

@@ -139,3 +139,55 @@ def test_blocks_give_what_one_window_gives(spark, blocks):
     block = f.rolling_blocked(lambda g: g.rolling_profile("x", "p", o).lead_profile("x", "q", LagOptions(2)), behind=4, ahead=2, blocks=blocks)
     assert block.df.columns == whole.df.columns
     assert [repr(tuple(r)) for r in block.collect()] == [repr(tuple(r)) for r in whole.collect()]
+
+
+def test_ema_leaves_other_columns_alone(spark):
+    big = [9007199254740993, None, 9007199254740995]
+    f = frame_of(spark, [(i, v, NAN, b, i % 2) for i, (v, b) in enumerate(zip([1.0, None, 3.0], big, strict=True))], "rid int, x double, other double, big long, k int")
+    out = f.ema_profile("x", "e", EmaOptions(0.5, 1))
+    assert values(out, "big") == big and all(math.isnan(v) for v in values(out, "other"))
+    near(values(out, "e_ema"), [1.0, None, 2.0])
+    split = type(f)(f.df, ["rid"], ["k"]).ema_profile("x", "e", EmaOptions(0.5, 2))
+    near(values(split, "e_ema"), [None, None, 2.0])
+
+
+@pytest.fixture(scope="module")
+def gaps(spark):
+    return frame_of(spark, [(0, 1.0), (1, NAN), (2, 3.0), (3, 2.0), (4, None)], "rid int, x double")
+
+
+def test_nan_compares_as_ieee_has_it(gaps):
+    c = gaps.clip_profile("x", "c", ClipOptions(1.5, 2.5))
+    near(values(c, "c_clipped"), [1.5, 1.5, 2.5, 2.0, None])
+    assert values(c, "c_above") == [False, False, True, False, None] and values(c, "c_below") == [True, False, False, False, None]
+    assert values(c, "c_in_range") == [False, True, False, True, None]
+    t = gaps.threshold_profile("x", "t", 1.5)
+    assert values(t, "t_above") == [False, False, True, True, None] and values(t, "t_at") == [False, False, False, False, None]
+    assert values(gaps.sign_profile("x", "s", LagOptions()), "s_sign") == [1, 0, 1, 1, None]
+    assert values(gaps.change_point_profile("x", "p", 0.5, LagOptions()), "p_change_point") == [None, False, False, True, None]
+    assert values(gaps.trend_profile("x", "d", LagOptions()), "d_trend") == [None, 0, 0, -1, None]
+
+
+def test_running_extremes_pass_over_a_later_nan(gaps, spark):
+    near(values(gaps.drawdown_profile("x", "d"), "d_running_peak"), [1.0, 1.0, 3.0, 3.0, None])
+    e = gaps.extrema_profile("x", "e")
+    near(values(e, "e_running_high"), [1.0, 1.0, 3.0, 3.0, None])
+    near(values(e, "e_running_low"), [1.0, 1.0, 1.0, 1.0, None])
+    assert values(e, "e_new_high") == [True, False, True, False, None]
+    near(values(gaps.rolling_range_profile("x", "r", RollingOptions(2, 1)), "r_rolling_high"), [1.0, 1.0, NAN, 3.0, None])
+    near(values(gaps.rolling_drawdown_profile("x", "w", RollingOptions(2, 1)), "w_rolling_peak"), [1.0, 1.0, NAN, 3.0, None])
+
+
+def test_statistics_of_a_whole_frame_are_no_single_task(spark):
+    f = frame_of(spark, [(i, float(i * i % 7), float(i)) for i in range(50)], "rid int, x double, y double")
+    for out in (f.standardize_profile("x", "s"), f.linear_fit_profile("x", "y", "l"), f.argsort_by("x"), f.rank_profile_by("x", "r")):
+        plan = out.df._jdf.queryExecution().executedPlan().toString()
+        assert not any("SinglePartition" in line and "BroadcastExchange" not in line and "Exchange" in line and "Window" in plan for line in plan.split("\n")), plan
+    keyed = type(f)(f.df.selectExpr("*", "1 as k"), ["rid"], ["k"])
+    for name in ("s_zscore", "s_minmax", "s_centered"):
+        near(values(f.standardize_profile("x", "s"), name), values(keyed.standardize_profile("x", "s"), name))
+    for name in ("l_fitted", "l_residual_zscore", "l_slope"):
+        near(values(f.linear_fit_profile("x", "y", "l"), name), values(keyed.linear_fit_profile("x", "y", "l"), name))
+    for name in ("r_ordinal_rank", "r_competition_rank", "r_dense_rank", "r_percent_rank", "r_cume_dist"):
+        near(values(f.rank_profile_by("x", "r"), name), values(keyed.rank_profile_by("x", "r"), name))
+    assert values(f.argsort_by("x"), "argsort") == values(keyed.argsort_by("x"), "argsort")
