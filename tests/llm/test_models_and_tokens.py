@@ -116,6 +116,57 @@ def test_packing_covers_all_ids_once(docs):
         assert end <= 128
 
 
+def test_checksums_of_cuts():
+    rng = random.Random(3)
+    for _ in range(200):
+        data, at = rng.randbytes(rng.randint(0, 4000)), rng.random()
+        k = int(at * len(data))
+        assert packing.crc_of_rest(zlib.crc32(data), zlib.crc32(data[:k]), len(data) - k) == zlib.crc32(data[k:])
+
+
+def test_sum_of_squares_equals_trying_all_levels():
+    rng = np.random.default_rng(8)
+    lengths, window = rng.integers(1, 30, 400), 30
+    number, offset = packing.sum_of_squares(lengths, window)
+    fills = {}
+    for n, w, at in zip(lengths.tolist(), number.tolist(), offset.tolist(), strict=True):
+        assert fills.get(w, 0) == at
+        count = Counter(f for f in fills.values() if f < window)
+
+        def cost(level, n=n, count=count):
+            c = Counter(count)
+            if level:
+                c[level] -= 1
+            if level + n < window:
+                c[level + n] += 1
+            return sum(v * v for v in c.values())
+
+        able = [0, *(f for f, v in count.items() if v and f + n <= window)]
+        assert cost(at) == min(map(cost, able))
+        fills[w] = at + n
+
+
+def test_open_windows_are_closed_up(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 1024, 3000)
+    number, _ = packing.sum_of_squares(lengths, 1024)
+    pieces = packing.close_up(number, lengths, 1024)
+    parts, fills = {}, Counter()
+    for item, first, n, w in pieces:
+        parts.setdefault(item, []).append((first, n))
+        fills[w] += n
+    for item, own in parts.items():
+        assert sorted(own) == [(sum(n for _, n in sorted(own)[:k]), n) for k, (_, n) in enumerate(sorted(own))] and sum(n for _, n in own) == lengths[item]
+    assert len(parts) == 3000 and max(fills.values()) <= 1024 and len(pieces) < 4000
+    assert 1024 * len(fills) <= 1.01 * lengths.sum() + 1024
+    words = ["alpha", "beta", "gamma ray", "delta"]
+    texts = [" ".join(words[i] for i in rng.integers(0, 4, k)) for k in rng.integers(1, 900, 300)]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (3, texts[3])], "doc_id long, text string").withColumns({"row": F.lit(1), "begins": F.lit(2)})
+    out = packing.pack(packing.cut(df, "byte_bpe_50k.json", 0), 1024).collect()
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in out)
+    assert packing.pack(packing.cut(df.where("false"), "byte_bpe_50k.json", 0), 1024).count() == 0
+
+
 def test_sum_of_squares_picks_the_least_increase():
     number, offset = packing.sum_of_squares(np.array([6, 6, 4, 4, 10]), 10)
     assert offset.tolist() == [0, 0, 6, 6, 0] and number[2] != number[3]
