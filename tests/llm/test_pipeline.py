@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import near_dup, quality_rules
+from tessera.llm import quality_rules
 from tessera.llm.tokens import load
+from tests.llm.test_models_and_tokens import alike_by_hand, weighted_by_hand
 from tests.llm.test_text_operators import hits_by_hand, near_by_hand, rules_by_hand
 
 
@@ -20,17 +21,11 @@ def keeps(t):
 
 
 def classes(docs):
-    texts = [t for _, t in docs]
-    owner, s, times = near_dup.shingles(texts)
-    u, c = np.unique(s, return_counts=True)
-    n = len(np.unique(owner))
-    w = near_dup.Weights(u[c >= near_dup.RARE * n], c[c >= near_dup.RARE * n], n).of(s, times)
-    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-    sets = [near_dup.pack(s[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
+    sets = weighted_by_hand([t for _, t in docs])
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
         for j in range(i):
-            if near_dup.similarity(sets[i], sets[j]) >= 0.8:
+            if alike_by_hand(sets[i], sets[j]) >= 0.8:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return root
@@ -69,3 +64,26 @@ def test_pipeline_equals_its_plain_version(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         seen.setdefault(r["doc_id"], [0, r["doc_tokens"]])[0] += r["length"]
     assert seen == {d: [n := len(tok.encode(t, add_special_tokens=False).ids) + 1, n] for d, t in left}
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns
+    with the names that operators use, and an empty table, through every stage."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) if rng.random() < 0.7 else "the" for _ in range(n))
+    one, long = text(60), "\n".join(text(40) for _ in range(300))
+    rows = [(1, one, "en", "s", 5), (1, one, "en", "s", 5), (None, text(50), None, None, None), (None, None, None, None, None), (3, "", "en", "s", 0), (4, long, "en", None, 9), (5, one + " more", "en", "s", 1)]
+    names = ("_ld_removed", "_nd_digest", "n_words", "row", "k", "g", "t", "d", "gone", "kept", "removed")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in names})
+    spark.createDataFrame([(1, " ".join(one.split()[:12])), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        docs = corpus_pipeline.materialize(out)
+        found = docs.collect()
+        assert all(r[c] == c for r in found for c in names)
+        kept[name] = sorted(((r["doc_id"] or 0) for r in found))
+    assert kept["quality rules"] == [0, 1, 1, 4, 5] and kept["line dedup"] == [0, 1, 1, 4] and kept["near copies"] == [0, 1, 4] and kept["decontamination"] == [0, 4]
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {None, 4} and corpus_pipeline.pack(spark, docs.where("false"), str(tmp_path)).count() == 0
