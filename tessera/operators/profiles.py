@@ -10,6 +10,7 @@ valid observations are in its window.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -378,7 +379,10 @@ def normalize(df, scope, x, prefix, o):
 
 def quantiles(df, scope, x, prefix, o):
     v, s = _x(x), Span(scope, o)
-    df = df.withColumns({"__n": s.count(v), "__q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(s.w)})
+    if not s.rolling:
+        df = _scan(df, scope, x, ("__n", "__q1", "__q2", "__q3")).withColumn("__q", F.array("__q1", "__q2", "__q3")).drop("__q1", "__q2", "__q3")
+    else:
+        df = df.withColumns({"__n": s.count(v), "__q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(s.w)})
     ok = F.col("__n") >= s.least
     ok = ok & v.isNotNull() if s.rolling else ok
     q, w = F.col("__q"), f"{s.word}_"
@@ -411,8 +415,115 @@ def _middle(a: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
+class Ordered:
+    """Numbers in order, in blocks, so that insertions and ranks take time in
+    proportion to the root of their number. NaN stands after all others."""
+
+    SIZE = 1024
+
+    def __init__(self):
+        self.blocks: list[list[float]] = [[]]
+        self.nans, self.n = 0, 0
+
+    def add(self, v: float) -> None:
+        self.n += 1
+        if v != v:
+            self.nans += 1
+            return
+        k = max(0, bisect_right(self.blocks, v, key=lambda b: b[0] if b else v) - 1)
+        insort(self.blocks[k], v)
+        if len(self.blocks[k]) > 2 * self.SIZE:
+            self.blocks[k : k + 1] = [self.blocks[k][: self.SIZE], self.blocks[k][self.SIZE :]]
+
+    def rank(self, v: float) -> tuple[int, int]:
+        """(numbers below v, numbers equal to v)."""
+        below = upto = 0
+        for b in self.blocks:
+            if not b or b[0] > v:
+                break
+            below += bisect_left(b, v)
+            upto += bisect_right(b, v)
+        return below, upto - below
+
+    def kth(self, k: int) -> float:
+        for b in self.blocks:
+            if k < len(b):
+                return b[k]
+            k -= len(b)
+        return NAN
+
+    def quantile(self, q: float) -> float:
+        at = q * (self.n - 1)
+        low, high = self.kth(int(at)), self.kth(min(int(at) + 1, self.n - 1))
+        return low if at == int(at) else low + (at - int(at)) * (high - low)
+
+    def deviation(self, centre: float, k: int) -> float:
+        """The k-th distance from the centre, from 0: distances grow to either side
+        of it, and a search finds how many of the first k lie on the left."""
+        below, equal = self.rank(centre)
+        left_n = below + equal
+        right_n = self.n - left_n
+        left, right = (lambda i: centre - self.kth(left_n - 1 - i)), (lambda j: self.kth(left_n + j) - centre)
+        low, high = max(0, k - right_n), min(k, left_n)
+        while low < high:
+            mid = (low + high) // 2
+            if left(mid) < right(k - mid - 1):
+                low = mid + 1
+            else:
+                high = mid
+        found = [f(i) for f, i, n in ((left, low, left_n), (right, k - low, right_n)) if i < n]
+        return min((d for d in found if d == d), default=NAN)
+
+
+_SCANNED = ("__n", "__q1", "__q2", "__q3", "__mad", "__b", "__e")
+
+
+def _scan(df: DataFrame, scope: Scope, x: str, wanted: tuple[str, ...], descending: bool = False) -> DataFrame:
+    """Order statistics of the values so far, beside every row: sorted rows
+    stream through a task, which holds the values of one partition key. Columns
+    that are not needed pass by unchanged."""
+    df = df.withColumns({"__v": _x(x), "__new": F.row_number().over(scope.wo) == 1})
+    df = df.sortWithinPartitions(*scope.keys, *scope.order)
+    names = df.columns
+    out = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in wanted)])
+    parts = {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Ordered()
+        for b in batches:
+            cols: dict[str, list[float | None]] = {c: [] for c in wanted}
+            for v, new in zip(b.column("__v").to_pylist(), b.column("__new").to_pylist(), strict=True):
+                if new:
+                    seen = Ordered()
+                if v is not None:
+                    seen.add(v)
+                n = seen.n
+                for c, to in cols.items():
+                    if c == "__n":
+                        to.append(float(n))
+                    elif not n:
+                        to.append(None)
+                    elif c in parts:
+                        to.append(seen.quantile(parts[c]))
+                    elif c == "__mad":
+                        m = seen.quantile(0.5)
+                        to.append(NAN if m != m else (seen.deviation(m, (n - 1) // 2) + seen.deviation(m, n // 2)) / 2)
+                    elif v is None:
+                        to.append(None)
+                    else:
+                        below, equal = seen.rank(v) if v == v else (0, 0)
+                        to.append(float(equal if c == "__e" else n - seen.nans - below - equal if descending and v == v else below))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.float64()) for c in cols.values())], [*names, *wanted])
+
+    return df.mapInArrow(run, out).withColumn("__n", F.col("__n").cast("long")).drop("__v", "__new")
+
+
 def windowed_robust(df, scope, x, prefix, o, iqr_multiplier: float = 1.5):
     v, s = _x(x), Span(scope, o)
+    if not s.rolling:
+        df = _scan(df, scope, x, ("__n", "__q1", "__q2", "__q3", "__mad"))
+        q = F.array("__q1", "__q2", "__q3")
+        return add(df, prefix, _robust_columns(v, F.col("__n"), q, F.col("__mad"), s.least, iqr_multiplier, "expanding_"), _SCANNED)
     df = df.withColumns({"__n": s.count(v), "__a": F.collect_list(v).over(s.w), "__q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(s.w)})
     df = df.withColumn("__dev", F.transform("__a", lambda e: F.abs(e - F.col("__q")[1])))
     return add(df, prefix, _robust_columns(v, F.col("__n"), F.col("__q"), _middle(F.col("__dev")), s.least, iqr_multiplier, f"{s.word}_"), ("__n", "__a", "__q", "__dev"))
@@ -420,9 +531,16 @@ def windowed_robust(df, scope, x, prefix, o, iqr_multiplier: float = 1.5):
 
 def windowed_rank(df, scope, x, prefix, o, descending: bool = False):
     v, s = _x(x), Span(scope, o)
+    if not s.rolling:
+        df = _scan(df, scope, x, ("__n", "__b", "__e"), descending).withColumn("__v", v)
+        return _rank_columns(df, prefix, s)
     df = df.withColumns({"__v": v, "__n": s.count(v), "__a": F.collect_list(v).over(s.w)})
     better = F.size(F.filter("__a", lambda e: gt(e, F.col("__v")) if descending else lt(e, F.col("__v"))))
     df = df.withColumns({"__b": better, "__e": F.size(F.filter("__a", lambda e: (e == F.col("__v")) & ~F.isnan(e)))})
+    return _rank_columns(df, prefix, s)
+
+
+def _rank_columns(df: DataFrame, prefix: str, s: Span) -> DataFrame:
     n, b, e = F.col("__n"), F.col("__b"), F.col("__e")
     ok, w = F.col("__v").isNotNull() & (n >= s.least), f"{s.word}_"
     share = F.when(n <= 1, F.lit(0.0)).otherwise(b / F.when(n > 1, n - 1))

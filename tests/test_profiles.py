@@ -191,3 +191,21 @@ def test_statistics_of_a_whole_frame_are_no_single_task(spark):
     for name in ("r_ordinal_rank", "r_competition_rank", "r_dense_rank", "r_percent_rank", "r_cume_dist"):
         near(values(f.rank_profile_by("x", "r"), name), values(keyed.rank_profile_by("x", "r"), name))
     assert values(f.argsort_by("x"), "argsort") == values(keyed.argsort_by("x"), "argsort")
+
+
+def test_order_statistics_so_far_equal_numpy(monkeypatch):
+    import numpy as np
+
+    from tessera.operators.profiles import Ordered
+
+    monkeypatch.setattr(Ordered, "SIZE", 4)
+    rng = np.random.default_rng(6)
+    for values_ in (rng.integers(0, 9, 120).astype(float), rng.normal(size=120), np.repeat(3.0, 40)):
+        seen = Ordered()
+        for i, v in enumerate(values_.tolist()):
+            seen.add(v)
+            x = values_[: i + 1]
+            assert seen.rank(v) == ((x < v).sum(), (x == v).sum())
+            assert [seen.quantile(q) for q in (0.25, 0.5, 0.75)] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist())
+            m, n = seen.quantile(0.5), i + 1
+            assert (seen.deviation(m, (n - 1) // 2) + seen.deviation(m, n // 2)) / 2 == pytest.approx(np.median(np.abs(x - np.median(x))))
