@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tessera.functions.expressions import NAN, ge, greatest_over, gt, le, least_over, lt, nz, sign
+from tessera.functions.expressions import NAN, ge, greatest_over, gt, least_over, lt, nz, sign
 from tessera.plans.options import BucketOptions, ClipOptions, EmaOptions, ExpandingOptions, LagOptions, RollingOptions
 
 MAD_SCALE = 0.6744897501960817
