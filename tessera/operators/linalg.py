@@ -3,10 +3,11 @@ and tall matrices as tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ MATRIX: dict[str, Callable] = {
     "matrix_norm": matrix_norm, "eigh": np.linalg.eigh, "eigvalsh": np.linalg.eigvalsh, "lstsq": lambda a, b: np.linalg.lstsq(a, b, rcond=None)[0], "lu": lu, "solve_triangular": solve_triangular, "det": np.linalg.det,
     "inverse": np.linalg.inv, "solve": np.linalg.solve, "trace": np.trace, "matmul": np.matmul, "matvec": np.matmul, "eye": np.eye, "matrix_power": np.linalg.matrix_power,
 }
+#: Those that need other calls for a stack of matrices.
+STACKED: dict[str, Callable] = {"trace": lambda a: np.trace(a, axis1=1, axis2=2)}
 
 
 #: Names of the parts of results that are several arrays.
@@ -55,47 +58,81 @@ PARTS = {"qr": ("q", "r"), "svd": ("u", "s", "vt"), "eigh": ("values", "vectors"
 LONG = "part string, row long, col long, val double"
 
 
-def _dense(pdf: pd.DataFrame, row: str, col: str, val: str) -> np.ndarray:
-    a = np.zeros((int(pdf[row].max()) + 1, int(pdf[col].max()) + 1))
-    a[pdf[row], pdf[col]] = pdf[val]
-    return a
+#: Functions that take one matrix at a time; the others take stacks.
+ALONE = {"matrix_norm", "lstsq", "lu", "solve_triangular"}
 
 
-def _long(key: object, op: str, found: object) -> pd.DataFrame:
-    """A number, an array or several as rows (key, part, row, col, val); a vector
-    is a column."""
+def _cells(df: DataFrame, key: str, name: str, row: str, col: str, val: str) -> DataFrame:
+    """One row a group, its matrix as a list of cells."""
+    return df.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j"), F.col(val).cast("double").alias("v"))).alias(name))
+
+
+def _stacks(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which groups, their matrices as a stack), by shape."""
+    cells, sizes = lists.flatten().flatten(), lists.value_lengths().to_numpy()
+    if cells[0].null_count or cells[1].null_count:
+        raise ValueError("a cell without a row or a column")
+    i, j, v = (c.to_numpy(zero_copy_only=False) for c in cells)
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(lists)), sizes)
+    shapes, which = np.unique(np.stack([np.maximum.reduceat(i, starts), np.maximum.reduceat(j, starts)], 1) + 1, axis=0, return_inverse=True)
+    for k, (rows, cols) in enumerate(shapes):
+        groups, mine = np.flatnonzero(which.ravel() == k), which.ravel()[of] == k
+        a = np.zeros((len(groups), rows, cols))
+        a[np.searchsorted(groups, of[mine]), i[mine], j[mine]] = v[mine]
+        yield groups, a
+
+
+def _long(keys: pa.Array, op: str, found: object) -> Iterator[pa.RecordBatch]:
+    """Numbers, arrays or several a group as rows (key, part, row, col, val); a
+    vector is a column."""
     parts = found if isinstance(found, tuple) else (found,)
-    rows = []
     for name, x in zip(PARTS.get(op, ("",)), parts, strict=True):
         x = np.asarray(x, float)
-        x = x.reshape(-1, 1) if x.ndim == 1 else np.atleast_2d(x)
-        i, j = np.indices(x.shape)
-        rows.append(pd.DataFrame({"key": [key] * x.size, "part": name, "row": i.ravel(), "col": j.ravel(), "val": x.ravel()}))
-    return pd.concat(rows)
+        x = x.reshape(*x.shape, *(1,) * (3 - x.ndim))
+        g, i, j = (n.ravel() for n in np.indices(x.shape))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array([name]).take(pa.array(np.zeros_like(g))), pa.array(i), pa.array(j), pa.array(x.ravel())], ["key", "part", "row", "col", "val"])
+
+
+def _alone(f: Callable, *stacks: np.ndarray) -> object:
+    found = [f(*one) for one in zip(*stacks, strict=True)]
+    return tuple(np.stack(p) for p in zip(*found, strict=True)) if isinstance(found[0], tuple) else np.stack(found)
+
+
+def _each(groups: DataFrame, op: str, names: Sequence[str]) -> DataFrame:
+    """``op`` of the matrices ``names`` of every row. Matrices of equal shapes in
+    a batch of groups are one stack, so that a small one costs no call."""
+    f = (lambda *x: _alone(MATRIX[op], *x)) if op in ALONE else STACKED.get(op, MATRIX[op])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, *rest = (list(_stacks(b.column(n))) for n in names)
+            for groups, a in first:
+                if not rest:
+                    yield from _long(b.column("key").take(pa.array(groups)), op, f(a))
+                for others, c in (x for r in rest for x in r):
+                    both, at, to = np.intersect1d(groups, others, assume_unique=True, return_indices=True)
+                    if len(both):
+                        yield from _long(b.column("key").take(pa.array(both)), op, f(a[at], c[to]))
+
+    return groups.mapInArrow(run, f"key {groups.schema['key'].dataType.simpleString()}, {LONG}")
 
 
 def per_group(df: DataFrame, key: str, op: str, row: str = "row", col: str = "col", val: str = "val") -> DataFrame:
     """One matrix a group, as (key, part, row, col, val); ``op`` gives a number,
     an array, or several arrays, told apart by ``part``. A group's matrix fits one
     worker; groups are spread over the cluster."""
-    f = MATRIX[op]
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _long(k[0], op, f(_dense(pdf, row, col, val)))
-
-    return df.groupBy(key).applyInPandas(run, f"key {dict(df.dtypes)[key]}, {LONG}")
+    return _each(_cells(df, key, "a", row, col, val), op, ["a"])
 
 
 def per_group_with(a: DataFrame, b: DataFrame, key: str, op: str, row: str = "row", col: str = "col", val: str = "val") -> DataFrame:
     """Operators of two matrices (solve, lstsq, solve_triangular, matmul, matvec)
-    by group; groups of one side only are left out."""
-    f = MATRIX[op]
-
-    def run(k: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _long(k[0], op, f(_dense(x, row, col, val), _dense(y, row, col, val)))
-
-    a, b = a.join(b.select(key).distinct(), key, "left_semi"), b.join(a.select(key).distinct(), key, "left_semi")
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(run, f"key {dict(a.dtypes)[key]}, {LONG}")
+    by group; groups of one side only are left out. Both may come from one table:
+    the key of ``b`` has a name of its own."""
+    right = _cells(b, key, "b", row, col, val).withColumnRenamed("key", "__key")
+    both = _cells(a, key, "a", row, col, val).join(right, F.col("key").eqNullSafe(F.col("__key")))
+    return _each(both.select("key", "a", "b"), op, ["a", "b"])
 
 
 def tall_qr(df: DataFrame, vector: str) -> tuple[DataFrame, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -406,16 +407,14 @@ round((p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * q), 3) as e0, round((p + s)
 def linalg_by_group(spark, sf_dir):
     """Factorizations and solutions of a small matrix per group."""
     a, b = _two(spark, sf_dir)
-    at = lambda df, name, where, digits, absolute=False: df.where(where).select(F.col("key").alias("user_id"), F.round(F.abs("val") if absolute else F.col("val"), digits).alias(name))
-    x, e, c = per_group_with(a, b, "user_id", "solve"), per_group(a, "user_id", "eigh"), per_group(a, "user_id", "cholesky")
-    parts = [
-        at(x, "x0", "row = 0", 6), at(x, "x1", "row = 1", 6), at(per_group(a, "user_id", "det"), "det", "true", 2), at(c, "c00", "row = 0 and col = 0", 6), at(c, "c10", "row = 1 and col = 0", 6),
-        at(per_group(a, "user_id", "inverse"), "i00", "row = 0 and col = 0", 9), at(e, "e0", "part = 'values' and row = 0", 3), at(e, "e1", "part = 'values' and row = 1", 3), at(per_group(a, "user_id", "qr"), "r00", "part = 'r' and row = 0 and col = 0", 4, True),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "user_id")
-    return out
+    parts = {
+        "solve": {"x0": ("row = 0", 6), "x1": ("row = 1", 6)}, "det": {"det": ("true", 2)}, "cholesky": {"c00": ("row = 0 and col = 0", 6), "c10": ("row = 1 and col = 0", 6)}, "inverse": {"i00": ("row = 0 and col = 0", 9)},
+        "eigh": {"e0": ("part = 'values' and row = 0", 3), "e1": ("part = 'values' and row = 1", 3)}, "qr": {"r00": ("part = 'r' and row = 0 and col = 0", 4)},
+    }
+    found = [(per_group_with(a, b, "user_id", op) if op == "solve" else per_group(a, "user_id", op)).withColumn("op", F.lit(op)) for op in parts]
+    value = {"r00": F.abs("val")}
+    numbers = [F.round(F.max(F.when((F.col("op") == op) & F.expr(where), value.get(name, F.col("val")))), digits).alias(name) for op, names in parts.items() for name, (where, digits) in names.items()]
+    return reduce(DataFrame.unionAll, found).groupBy(F.col("key").alias("user_id")).agg(*numbers)
 
 
 @query(f"select r as bin, count(y) as count from range(20) t(r) left join {_E} on y = r group by all")

@@ -186,3 +186,37 @@ def test_scan_pushes_down(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(v,100)" in plan and "w" not in plan.split("ReadSchema")[1]
     assert sorted(r["v"] for r in df.collect()) == [100, 102, 104, 106, 108, 110]
+
+
+def test_both_matrices_of_a_group_may_come_from_one_table(spark):
+    m = spark.createDataFrame([(1, 2.0, 6.0), (2, 4.0, 2.0), (None, 5.0, 5.0)], "k long, p double, u double").groupBy("k").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    cell = lambda c: m.select("k", F.lit(0).alias("row"), F.lit(0).alias("col"), F.col(c).alias("val"))
+    for op, want in {"solve": {1: 3.0, 2: 0.5, None: 1.0}, "lstsq": {1: 3.0, 2: 0.5, None: 1.0}, "matmul": {1: 12.0, 2: 8.0, None: 25.0}}.items():
+        assert {r["key"]: r["val"] for r in linalg.per_group_with(cell("p"), cell("u"), "k", op).collect()} == pytest.approx(want)
+
+
+def test_groups_of_other_shapes_stay_apart(spark):
+    rng = np.random.default_rng(3)
+    mats = {k: rng.normal(size=(1 + k % 3, 1 + k % 2)) for k in range(30)}
+    df = spark.createDataFrame([(k, int(i), int(j), float(m[i, j])) for k, m in mats.items() for i, j in np.ndindex(m.shape)], "k int, row long, col long, val double")
+    for op, f in {"singular_values": lambda m: np.linalg.svd(m, compute_uv=False), "matrix_norm": np.linalg.norm, "trace": np.trace, "pinv": np.linalg.pinv}.items():
+        found = {(r["key"], r["row"], r["col"]): r["val"] for r in linalg.per_group(df, "k", op).collect()}
+        want = {(k, i, j): x for k, m in mats.items() for (i, j), x in np.ndenumerate(np.reshape(f(m), (-1, 1)) if op != "pinv" else f(m))}
+        assert found == pytest.approx(want)
+    other = spark.createDataFrame([(k, int(i), 0, float(i + k)) for k, m in mats.items() if k % 5 for i in range(m.shape[1])], "k int, row long, col long, val double")
+    found = {(r["key"], r["row"]): r["val"] for r in linalg.per_group_with(df, other, "k", "matvec").collect()}
+    assert found == pytest.approx({(k, i): x for k, m in mats.items() if k % 5 for i, x in enumerate(m @ (np.arange(m.shape[1]) + k))})
+
+
+def test_linalg_by_group_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans.array_queries import ORACLE_SQL, QUERIES
+
+    events = [(i, i * i % 40, float(i * 37 % 101) + 0.25) for i in range(400)] + [(400, None, 3.0), (401, None, 8.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["linalg_by_group"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = db.execute(f"select {', '.join(out.columns)} from ({ORACLE_SQL['linalg_by_group']})").fetchall()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
