@@ -49,8 +49,27 @@ MATRIX: dict[str, Callable] = {
     "matrix_norm": matrix_norm, "eigh": np.linalg.eigh, "eigvalsh": np.linalg.eigvalsh, "lstsq": lambda a, b: np.linalg.lstsq(a, b, rcond=None)[0], "lu": lu, "solve_triangular": solve_triangular, "det": np.linalg.det,
     "inverse": np.linalg.inv, "solve": np.linalg.solve, "trace": np.trace, "matmul": np.matmul, "matvec": np.matmul, "eye": np.eye, "matrix_power": np.linalg.matrix_power,
 }
+
+
+def det(a: np.ndarray) -> np.ndarray:
+    """Determinants of a stack. Small matrices are eliminated in extended
+    precision, so that those of whole numbers come out whole."""
+    n = a.shape[-1]
+    if n > 16 or a.shape[-2] != n:
+        return np.linalg.det(a)
+    u, out, m = np.array(a, np.longdouble), np.ones(len(a), np.longdouble), np.arange(len(a))
+    for k in range(n):
+        at = k + np.argmax(np.abs(u[:, k:, k]), 1)
+        u[m, at], u[:, k] = u[:, k].copy(), u[m, at]
+        out *= np.where(at == k, 1, -1) * u[:, k, k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            by = np.where((u[:, k, k] == 0)[:, None], 0, u[:, k + 1 :, k] / u[:, k, k][:, None])
+        u[:, k + 1 :] -= by[:, :, None] * u[:, k][:, None]
+    return out.astype(float)
+
+
 #: Those that need other calls for a stack of matrices.
-STACKED: dict[str, Callable] = {"trace": lambda a: np.trace(a, axis1=1, axis2=2)}
+STACKED: dict[str, Callable] = {"trace": lambda a: np.trace(a, axis1=1, axis2=2), "det": det}
 
 
 #: Names of the parts of results that are several arrays.

@@ -220,3 +220,14 @@ def test_linalg_by_group_is_its_sql(spark, tmp_path):
     db.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = db.execute(f"select {', '.join(out.columns)} from ({ORACLE_SQL['linalg_by_group']})").fetchall()
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_determinants_of_whole_numbers_are_whole(spark):
+    rng = np.random.default_rng(5)
+    p, s, q = rng.integers(10**6, 3 * 10**7, 200), rng.integers(10**5, 3 * 10**5, 200), rng.integers(10**5, 10**6, 200)
+    cells = [(k, i, j, float(x)) for k in range(200) for i, j, x in ((0, 0, p[k]), (0, 1, q[k]), (1, 0, q[k]), (1, 1, s[k]))]
+    found = {r["key"]: r["val"] for r in linalg.per_group(spark.createDataFrame(cells, "k long, row long, col long, val double"), "k", "det").collect()}
+    assert found == {k: float(int(p[k]) * int(s[k]) - int(q[k]) ** 2) for k in range(200)}
+    a = rng.normal(size=(40, 5, 5))
+    a[0], a[1, 0], a[2, :, 0] = 0, 0, 0
+    np.testing.assert_allclose(linalg.det(a), np.linalg.det(a), atol=1e-12)
