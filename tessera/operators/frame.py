@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,18 @@ _FLOAT = (T.FloatType, T.DoubleType)
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def _constant(value: object, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*(_constant(v, f.dataType).alias(f.name) for v, f in zip(value, kind, strict=True)))
+    return F.lit(value).cast(kind)
+
+
+def _starts(counts: dict[int, int]) -> Column:
+    """The sum of the counts of all blocks before a row's."""
+    before = accumulate((counts.get(i, 0) for i in range(max(counts, default=0))), initial=0)
+    return F.lit(list(before)).cast("array<long>")[F.col("__block")]
+
+
 class Frame:
     """Immutable and lazy: every method gives a new frame over a longer plan.
 
@@ -181,22 +194,52 @@ class Frame:
             raise ValueError("mask and frame differ in length")
         return self._new(self._numbered("__pos").join(at, "__pos").drop("__pos"))
 
-    def _numbered(self, name: str, df: DataFrame | None = None, order: Sequence[Column | str] = ()) -> DataFrame:
-        """Row positions from 0 in the frame's order. Rows are sorted by ranges;
-        a range starts at the number of rows in those before it, so no task holds
-        all rows. One count a range comes to the driver."""
-        df = self.df if df is None else df
-        ordered = df.orderBy(*(order or self.order))
-        part = ordered.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-        counts = sorted((r["__part"], r["count"]) for r in part.groupBy("__part").count().collect())
-        first, total = [], 0
-        for p, n in counts:
-            first.append((p, total))
-            total += n
-        if not first:
-            return df.withColumn(name, F.lit(0).cast("long"))
-        starts = F.broadcast(self.df.sparkSession.createDataFrame(first, "__part int, __first long"))
-        return part.join(starts, "__part").withColumn(name, F.col("__first") + F.col("__in")).drop("__part", "__in", "__first")
+    def _placed(self, df: DataFrame, keys: Sequence[tuple[str, SortOptions]]) -> DataFrame:
+        """``df`` with ``__block``, the range of a row in the order of ``keys``:
+        the number of cuts before it. Cuts are rows of a sample and constants of
+        the plan, so a row lies in one range however often the plan runs; Spark's
+        own ranges are sampled anew in every run."""
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        fields = [F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)]
+        kinds = [f.dataType for f in df.select(*fields).schema]
+        sample = df.select(*fields).orderBy(F.rand(0)).limit(100 * n)
+        found = sample.orderBy(*(self._sort(f"k{i}", o) for i, (_, o) in enumerate(keys))).collect() if n > 1 else []
+        cuts = list(dict.fromkeys(len(found) * i // n for i in range(1, n))) if found else []
+        if not cuts:
+            return df.withColumn("__block", F.lit(0))
+        cuts = [F.struct(*(_constant(v, kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(found[at], kinds, strict=True)))) for at in cuts]
+
+        def passed(cuts: Column) -> Column:
+            def before(cut: Column) -> Column:
+                found = F.lit(False)
+                for i, (c, o) in reversed(list(enumerate(keys))):
+                    a, b = cut[f"k{i}"], F.col(c)
+                    nulls = a.isNull() & b.isNotNull() if o.nulls == "first" else a.isNotNull() & b.isNull()
+                    less = F.when(a.isNull() | b.isNull(), nulls).otherwise(a > b if o.descending else a < b)
+                    found = less | a.eqNullSafe(b) & found
+                return found
+
+            return F.size(F.filter(cuts, before))
+
+        # cuts by the root of their number: first the group, then those within it
+        width = math.isqrt(len(cuts) - 1) + 1
+        groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+        if len(groups) == 1:
+            return df.withColumn("__block", passed(F.array(*cuts)))
+        df = df.withColumn("__group", passed(F.array(*(g[-1] for g in groups[:-1]))))
+        within = passed(F.array(*(F.array(*g) for g in groups))[F.col("__group")])
+        return df.withColumn("__block", F.col("__group") * width + within).drop("__group")
+
+    def _numbered(self, name: str, by: Sequence[tuple[str, SortOptions]] = ()) -> DataFrame:
+        """Row positions from 0 in the frame's order, or by ``by`` and then that
+        order. Rows are numbered within ranges; a range starts at the number of
+        rows in those before it, so no task holds all rows. A sample and one count
+        a range come to the driver."""
+        keys = [*by, *((c, SortOptions(nulls="first")) for c in self.order)]
+        placed = self._placed(self.df, keys)
+        counts = {r["__block"]: r["count"] for r in placed.groupBy("__block").count().collect()}
+        w = Window.partitionBy("__block").orderBy(*(self._sort(c, o) for c, o in keys))
+        return placed.withColumn(name, _starts(counts) + F.row_number().over(w) - 1).drop("__block")
 
     def filter_column_scalar(self, col: str, scalar: object, op: str) -> Frame:
         """A plain comparison where no NaN can tell the difference, so that it
@@ -411,7 +454,7 @@ class Frame:
         if not self.partition:
             if "argsort" in self.df.columns:
                 raise ValueError("column exists already: argsort")
-            return self._new(self._numbered("argsort", order=(self._sort(col, o), *self.order)))
+            return self._new(self._numbered("argsort", [(col, o)]))
         w = Window.partitionBy(*self.partition).orderBy(self._sort(col, o), *self.order)
         return self.with_column("argsort", (F.row_number().over(w) - 1).cast("long"))
 
@@ -425,11 +468,10 @@ class Frame:
     def _ranked(self, col: str, prefix: str, o: SortOptions) -> DataFrame:
         """Ranks over the whole frame: positions by ranges, then, by value, the
         first and last position and the number among the values."""
-        rows = self._numbered("__r", order=(self._sort(col, o), *self.order))
+        rows = self._numbered("__r", [(col, o)])
         values = rows.groupBy(F.col(col).alias("__v")).agg(F.min("__r").alias("__a"), F.max("__r").alias("__z"))
-        values = self._numbered("__d", values, ("__a",))
-        n = F.broadcast(rows.agg(F.count("*").alias("__n")))
-        joined = rows.join(values, F.col(col).eqNullSafe(F.col("__v"))).crossJoin(n)
+        values = Frame(values, ["__a"])._numbered("__d")
+        joined = rows.join(values, F.col(col).eqNullSafe(F.col("__v"))).withColumn("__n", F.lit(self.height()))
         a, n_rows = F.col("__a"), F.col("__n")
         ranks = {"ordinal_rank": F.col("__r") + 1, "competition_rank": a + 1, "dense_rank": F.col("__d") + 1, "percent_rank": F.when(n_rows > 1, a / (n_rows - 1)).otherwise(F.lit(0.0)), "cume_dist": (F.col("__z") + 1) / n_rows}
         return add(joined, prefix, ranks, ("__r", "__v", "__a", "__z", "__d", "__n"))

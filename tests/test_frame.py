@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from tessera.operators.frame import empty_frame, frame_of
+from tessera.operators.frame import Frame, empty_frame, frame_of
 from tessera.plans.options import AsofOptions, LagOptions, RollingOptions, SortOptions
 
 
@@ -125,3 +125,40 @@ def test_masks_matrices_and_sinks(spark, tmp_path, capsys):
     at = spark.createDataFrame([(0, 2), (1, 0)], "at int, index int")
     assert [r["rid"] for r in f.take(at).orderBy("at").collect()] == [2, 0]
     f.print()
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """Rows too many for Spark's samples of ranges to hold them all, in several
+    ranges although they are small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark.range(0, 60_000, 1, 6).selectExpr("id * 7919 % 60000 as rid", "case when id % 9 <> 0 then cast(id * id % 25 as double) end as v", "cast(id % 7 as string) as s")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("o", [SortOptions(), SortOptions(descending=True), SortOptions(nulls="first"), SortOptions(True, "first")])
+def test_positions_of_tables_beyond_a_sample(spread, o):
+    rows = [(r["v"], r["rid"]) for r in spread.collect()]
+    nulls = lambda v: (v is not None) if o.nulls == "first" else (v is None)
+    want = [rid for _, rid in sorted(rows, key=lambda r: (nulls(r[0]), (-1 if o.descending else 1) * (r[0] or 0), r[1]))]
+    out = Frame(spread, ["rid"]).argsort_by("v", o).df
+    assert [r["rid"] for r in sorted(out.collect(), key=lambda r: r["argsort"])] == want
+    assert sorted(r["argsort"] for r in out.select("argsort").collect()) == list(range(60_000))
+
+
+def test_positions_by_keys_of_any_type(spark, spread):
+    f = Frame(spread, ["s", "rid"])
+    want = [(r["s"], r["rid"]) for r in spread.orderBy("s", "rid").collect()]
+    assert [tuple(r) for r in f._numbered("i").orderBy("i").select("s", "rid").collect()] == want
+    at = spark.createDataFrame([(i, i) for i in (0, 1, 29_999, 59_999, 60_000)], "at long, index long")
+    assert {r["at"]: (r["s"], r["rid"]) for r in f.take(at).collect()} == {i: want[i] for i in (0, 1, 29_999, 59_999)}
+    nan = float("nan")
+    odd = spark.createDataFrame([(i, x, (x, i)) for i, x in enumerate([nan, -0.0, 0.0, None, 1.5, nan, None, float("-inf")] * 20)], "rid int, x double, k struct<x:double,i:int>")
+    for names in (["x", "rid"], ["k"]):
+        found = Frame(odd, names)._numbered("i").orderBy("i").collect()
+        assert [r["i"] for r in found] == list(range(160))
+        assert [r["rid"] for r in found][:20 * 2] == [i for i in range(160) if i % 8 in (3, 6)]
+    none = odd.where("rid < 0")
+    assert Frame(none, ["rid"]).argsort_by("x").df.collect() == [] == Frame(none, ["rid"]).rank_profile_by("x", "r").df.collect()
+    one = Frame(odd.where("rid = 4"), ["rid"]).rank_profile_by("x", "r").df.first()
+    assert (one["r_ordinal_rank"], one["r_dense_rank"], one["r_percent_rank"], one["r_cume_dist"]) == (1, 1, 0.0, 1.0)
