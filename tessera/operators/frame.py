@@ -466,15 +466,23 @@ class Frame:
         return self._new(add(self.df, prefix, {"ordinal_rank": F.row_number().over(ordinal).cast("long"), "competition_rank": F.rank().over(w).cast("long"), "dense_rank": F.dense_rank().over(w).cast("long"), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w)}))
 
     def _ranked(self, col: str, prefix: str, o: SortOptions) -> DataFrame:
-        """Ranks over the whole frame: positions by ranges, then, by value, the
-        first and last position and the number among the values."""
-        rows = self._numbered("__r", [(col, o)])
-        values = rows.groupBy(F.col(col).alias("__v")).agg(F.min("__r").alias("__a"), F.max("__r").alias("__z"))
-        values = Frame(values, ["__a"])._numbered("__d")
-        joined = rows.join(values, F.col(col).eqNullSafe(F.col("__v"))).withColumn("__n", F.lit(self.height()))
-        a, n_rows = F.col("__a"), F.col("__n")
-        ranks = {"ordinal_rank": F.col("__r") + 1, "competition_rank": a + 1, "dense_rank": F.col("__d") + 1, "percent_rank": F.when(n_rows > 1, a / (n_rows - 1)).otherwise(F.lit(0.0)), "cume_dist": (F.col("__z") + 1) / n_rows}
-        return add(joined, prefix, ranks, ("__r", "__v", "__a", "__z", "__d", "__n"))
+        """Ranks over the whole frame: positions by ranges, joined to the values,
+        each with the numbers of rows and of values before it."""
+        values = self._placed(self.df.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__c")), [("__v", o)])
+        found = values.groupBy("__block").agg(F.sum("__c").alias("rows"), F.count("*").alias("values")).collect()
+        n_rows, n_values = sum(r["rows"] for r in found), sum(r["values"] for r in found)
+        w = Window.partitionBy("__block").orderBy(self._sort("__v", o))
+        values = values.select(
+            "__v", "__c",
+            (_starts({r["__block"]: r["rows"] for r in found}) + F.sum("__c").over(w) - F.col("__c")).alias("__a"),
+            (_starts({r["__block"]: r["values"] for r in found}) + F.row_number().over(w) - 1).alias("__d"),
+        )
+        if n_values <= 100_000:  # rows of few values, many of each, are not dealt by value
+            values = F.broadcast(values)
+        joined = self._numbered("__r", [(col, o)]).join(values, F.col(col).eqNullSafe(F.col("__v")))
+        a = F.col("__a")
+        ranks = {"ordinal_rank": F.col("__r") + 1, "competition_rank": a + 1, "dense_rank": F.col("__d") + 1, "percent_rank": a / F.lit(n_rows - 1) if n_rows > 1 else F.lit(0.0), "cume_dist": (a + F.col("__c")) / F.lit(n_rows or 1)}
+        return add(joined, prefix, ranks, ("__r", "__v", "__a", "__c", "__d"))
 
     def concat_rows(self, other: Frame) -> Frame:
         a, b = self.df.schema, other.df.schema

@@ -146,6 +146,15 @@ def test_positions_of_tables_beyond_a_sample(spread, o):
     assert sorted(r["argsort"] for r in out.select("argsort").collect()) == list(range(60_000))
 
 
+def test_ranks_of_tables_beyond_a_sample(spark, spread):
+    spread.createOrReplaceTempView("spread")
+    want = spark.sql("select rid, row_number() over (order by v nulls last, rid) as o, rank() over w as c, dense_rank() over w as d, percent_rank() over w as p, cume_dist() over w as u from spread window w as (order by v nulls last)")
+    out = Frame(spread, ["rid"]).rank_profile_by("v", "r").df.select("rid", "r_ordinal_rank", "r_competition_rank", "r_dense_rank", "r_percent_rank", "r_cume_dist")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    distinct = Frame(spread, ["rid"]).rank_profile_by("rid", "r").df
+    assert all(r["rid"] + 1 == r["r_ordinal_rank"] == r["r_competition_rank"] == r["r_dense_rank"] for r in distinct.collect())
+
+
 def test_positions_by_keys_of_any_type(spark, spread):
     f = Frame(spread, ["s", "rid"])
     want = [(r["s"], r["rid"]) for r in spread.orderBy("s", "rid").collect()]
